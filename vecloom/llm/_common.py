@@ -13,13 +13,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows of an Arrow batch: documents can be long, and a batch is held whole by a worker.
 BATCH_ROWS = 1024
+BATCH_BYTES = 32 << 20
 
 #: Largest bounded filter: 2**24 bits are 262,144 rows of 64 bits, about 10 MB when broadcast.
 MAX_FILTER_BITS = 1 << 24
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most, so that long texts do not pile up in a worker."""
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most, so that long texts do not pile up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

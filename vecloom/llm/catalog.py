@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from vecloom.llm import exact_dedup, mixing, packing
+from vecloom.llm import exact_dedup, minhash, mixing, packing
 
 
 def queries() -> dict:
     return {
+        "op2_minhash": minhash.op2_minhash,
         "op5_mixing": mixing.op5_mixing,
         "op7_packing": packing.op7_packing,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,

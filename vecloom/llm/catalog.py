@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from vecloom.llm import exact_dedup, minhash, mixing, packing
+from vecloom.llm import exact_dedup, language, minhash, mixing, packing, secret_scan
 
 
 def queries() -> dict:
     return {
         "op2_minhash": minhash.op2_minhash,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_mixing": mixing.op5_mixing,
         "op7_packing": packing.op7_packing,
+        "op9_language_id": language.op9_language_id,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 

@@ -60,7 +60,7 @@ def bucketed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
     ``rows`` is the size of the table and sets the number of buckets. Rows must not depend on
     the order in which tasks run: identical rows may swap ranks, others never do.
     """
-    buckets = max(64, rows // 200_000)
+    buckets = max(256, rows // 100_000)
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

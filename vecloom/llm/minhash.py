@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecloom.llm import sketch as sk
 from vecloom.llm._common import BoundedFilter, small_batches, table
@@ -221,7 +222,7 @@ def keep_rows(docs: DataFrame, percent: int = 85) -> DataFrame:
     surely = F.col("_maybe") | F.col("_id").isNull()
     alone = tested.where(~surely).select(*docs.columns)
     rest = tested.where(surely).drop("_maybe")
-    schema = rest.schema.add("_cls", "binary")
+    schema = T.StructType([*rest.schema.fields, T.StructField("_cls", T.BinaryType())])
     at = rest.columns.index("text")
 
     def work(batches):

@@ -124,8 +124,6 @@ def knn(
     def pick(raw, q, x, ids, qid):
         open_ = np.arange(len(ids)) if include_self else np.flatnonzero(ids != qid)
         value = raw[open_] if not down else -raw[open_]
-        if metric == "exp_neg_dot" and furthest:
-            value = -raw[open_]
         if len(open_) > k:
             limit = np.partition(value, k - 1)[k - 1]
             open_ = open_[value <= limit + _slack(raw)]
@@ -161,15 +159,12 @@ def range_join(queries: DataFrame, index: DataFrame, r: float, metric: str = "l2
     down = METRICS[metric]
     d = max(vx.check_dimensions(index, index_vec or vec), 1)
     side = _spread(_read(queries, key, vec))
-    raw_limit = r * abs(r) if metric == "l2" else -np.log(r) if metric == "exp_neg_dot" and r > 0 else r
+    raw_limit = r * r if metric == "l2" else np.log(r) if metric == "exp_neg_dot" and r > 0 else r
 
     def pick(raw, q, x, ids, qid):
         if metric in ("l2", "exp_neg_dot") and r <= 0:
             return np.empty(0, int), np.empty(0)
-        if metric == "exp_neg_dot":
-            near = np.flatnonzero(raw < -np.log(1 / r) + _slack(raw)) if r else np.empty(0, int)
-        else:
-            near = np.flatnonzero(raw > raw_limit - _slack(raw) if down else raw < raw_limit + _slack(raw))
+        near = np.flatnonzero(raw > raw_limit - _slack(raw) if down else raw < raw_limit + _slack(raw))
         s = exact(metric, q, x[near])
         keep = s > r if down else s < r
         return near[keep], s[keep]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -22,12 +23,24 @@ def local_session(cores: str = "8", app: str = "vecloom") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, if they see that path.
+
+    Clusters whose workers do not share it add the package by ``--py-files`` or in their image.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach: ``spark.checkpoint.dir``.
 
     Only where the setting is absent (tests, one machine) a temporary folder is made
     and remembered in the session.
     """
+    ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='vecloom-')}"

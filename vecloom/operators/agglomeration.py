@@ -5,7 +5,9 @@ round's threshold; connected clusters become one, named by its smallest point. T
 more than thresholds. Rounds whose threshold no edge exceeds repeat the level before without a job.
 
 Best-neighbour links are at most one a node. While they are at most ``local_links`` they are joined by
-union-find on the driver; beyond, by distributed star contraction.
+union-find on the driver; beyond, by distributed star contraction. A graph of at most ``local_edges``
+pairs (the count is checked) runs all its rounds in arrays on the driver, where a round takes
+milliseconds and not a dozen jobs; both ways give the same hierarchy.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,7 @@ from vecloom.operators.components import connected_components
 from vecloom.session import materialize
 
 LOCAL_LINKS = 100_000
+LOCAL_EDGES = 200_000
 STRATEGIES = ("JUST_SIB", "MY_BEST_NEIGHBOR", "ALL_BEST_NEIGHBORS")
 
 
@@ -115,13 +119,72 @@ def all_points(edges: DataFrame, n: int | None = None) -> DataFrame:
     return ends.distinct()
 
 
-def fit(edges: DataFrame, thresholds: list[float], n: int | None = None, points: DataFrame | None = None, seq: str | None = None, local_links: int = LOCAL_LINKS) -> Hierarchy:
+def array_rounds(points: np.ndarray, u: np.ndarray, v: np.ndarray, sim: np.ndarray, thresholds: list[float]) -> list[np.ndarray]:
+    """The node of every point (sorted ids) at each level; (u, v, sim) are canonical pairs, u < v."""
+    u, v = np.searchsorted(points, u), np.searchsorted(points, v)  # positions order like ids
+    node = np.arange(len(points))
+    size = np.ones(len(points), np.int64)
+    levels = [points[node]]
+    best = score = None
+    for t in thresholds:
+        if best is None:
+            a, b = np.concatenate((u, v)), np.concatenate((v, u))
+            s = np.tile(sim / (size[u] * size[v]), 2)
+            order = np.lexsort((b, -s, a))
+            first = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+            best, score = (a[first], b[first]), s[first]
+        link = (score > t) & (score > -10000.0)
+        if link.any():
+            parent = np.arange(len(points))
+            for x, y in zip(best[0][link].tolist(), best[1][link].tolist(), strict=True):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                while parent[y] != y:
+                    parent[y] = y = parent[parent[y]]
+                parent[max(x, y)] = min(x, y)
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            node = parent[node]
+            size = np.bincount(node, minlength=len(points))
+            lo, hi = np.minimum(parent[u], parent[v]), np.maximum(parent[u], parent[v])
+            out = lo != hi
+            pair, at = np.unique(lo[out] * len(points) + hi[out], return_inverse=True)
+            sim = np.bincount(at, weights=sim[out], minlength=len(pair))
+            u, v = np.divmod(pair, len(points))
+            best = None
+        levels.append(points[node])
+    return levels
+
+
+def _fit_arrays(points: DataFrame, level_edges: DataFrame, thresholds: list[float]) -> Hierarchy:
+    spark = points.sparkSession
+    ids = np.sort(points.toPandas()["point"].to_numpy(np.int64))
+    pairs = level_edges.where("src < dst").orderBy("src", "dst").toPandas()
+    began = time.time()
+    levels = array_rounds(ids, pairs["src"].to_numpy(np.int64), pairs["dst"].to_numpy(np.int64), pairs["sim"].to_numpy(float), thresholds)
+    changed = [i > 0 and bool((levels[i] != levels[i - 1]).any()) for i in range(len(levels))]
+    held = [0] + [0] * len(thresholds)
+    for i in range(1, len(levels)):
+        held[i] = i if changed[i] else held[i - 1]
+    own = sorted(set(held))
+    pdf = pd.DataFrame({"held": np.repeat(np.array(own, np.int32), len(ids)), "point": np.tile(ids, len(own)), "node": np.concatenate([levels[i] for i in own])})
+    table = materialize(spark.createDataFrame(pdf, "held int, point long, node long"), "members")
+    members = [table.where(F.col("held") == h).select("point", "node") for h in held]
+    return Hierarchy(points, thresholds, members, changed, [{"threshold": t, "changed": c, "seconds": time.time() - began} for t, c in zip(thresholds, changed[1:], strict=True)])
+
+
+def fit(
+    edges: DataFrame, thresholds: list[float], n: int | None = None, points: DataFrame | None = None, seq: str | None = None,
+    local_links: int = LOCAL_LINKS, local_edges: int = LOCAL_EDGES,
+) -> Hierarchy:
     """The whole hierarchy of (src, dst, sim) edges; ``seq`` orders conflicting writes of one edge."""
     began = time.time()
     if seq is None:
         edges, seq = edges.withColumn("seq", F.lit(0)), "seq"
     points = materialize(points if points is not None else all_points(edges, n), "points")
     level_edges = materialize(graph.upsert(edges, seq), "edges")
+    if level_edges.count() <= 2 * local_edges and points.count() <= 2 * local_edges:
+        return _fit_arrays(points, level_edges, list(map(float, thresholds)))
     member = materialize(points.select("point", F.col("point").alias("node")), "members")
     out = Hierarchy(points, list(map(float, thresholds)), [member], [False])
     counts = materialize(points.select(F.col("point").alias("node"), F.lit(1).cast("long").alias("n")), "counts")
@@ -131,7 +194,7 @@ def fit(edges: DataFrame, thresholds: list[float], n: int | None = None, points:
             cu, cv = counts.select(F.col("node").alias("src"), F.col("n").alias("cu")), counts.select(F.col("node").alias("dst"), F.col("n").alias("cv"))
             met = level_edges.join(cu, "src").join(cv, "dst").select("src", "dst", (F.col("sim") / (F.col("cu") * F.col("cv"))).alias("sim"))
             # A round under any threshold uses best neighbours only, and those do not depend on it.
-            scored = materialize(graph.best_neighbour(met, None, float("-inf")), "best")
+            scored = materialize(graph.best_neighbour(met, None, float("-inf")), "best")  # over the lowest score at any rate
             high = scored.agg(F.max("score")).first()[0]
         if high is None or not high > t:
             out.members.append(member)

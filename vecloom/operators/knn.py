@@ -116,8 +116,8 @@ def knn(
     if k < 1:
         raise ValueError("k is at least 1")
     down = METRICS[metric] != furthest
-    d = max(vx.check_dimensions(index, index_vec or vec), 1)
-    if (dq := vx.check_dimensions(queries, vec)) and dq != d:
+    d, dq = vx.check_dimensions(index, index_vec or vec), vx.check_dimensions(queries, vec)
+    if d and dq and dq != d:
         raise ValueError(f"queries have {dq} components, the index has {d}")
     side = _spread(_read(queries, key, vec))
 
@@ -131,7 +131,7 @@ def knn(
         best = np.lexsort((ids[open_], ids[open_] != qid, -s if down else s))[:k]
         return open_[best], s[best]
 
-    parts = [_pass(side, block, metric, pick, "knn") for block in _blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * d)))]
+    parts = [_pass(side, block, metric, pick, "knn") for block in _blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * max(d, 1))))]
     if not parts:
         return queries.sparkSession.createDataFrame([], "q long, n long, score double, rank int")
     found = parts[0]

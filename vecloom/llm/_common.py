@@ -29,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """row (all columns as a struct), doc_id, source, text: no column of ``docs`` can clash with a working name."""
+    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    return docs.select(held, F.col("doc_id").cast("long").alias("doc_id"), source.cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII takes Spark's fast path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

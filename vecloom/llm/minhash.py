@@ -1,8 +1,8 @@
 """MinHash near-dedup: one-permutation sketches, banded buckets, star-shaped candidate edges.
 
 Texts with the same shingle set form one class (128-bit digest of the set), so copies cost nothing
-from here on. A class has a one-permutation sketch of 384 bins with optimal densification, cut into
-48 bands of 8: a pair at similarity 0.85 misses all of them with probability 2e-7. The smallest class
+from here on. A class has a one-permutation sketch of 384 bins with optimal densification; 168 of them make
+28 bands of 6: a pair at similarity 0.85 misses all of them with probability 2e-6. The smallest class
 of each bucket is its centre, and edges lead from the centre to the members: at most one for each
 member and band. Edges whose sketches agree are confirmed on the full shingle sets, and confirmed
 links give components.
@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm import sketch as sk
-from vecloom.llm._common import BoundedFilter, small_batches, table
+from vecloom.llm._common import BoundedFilter, packed, small_batches, table, unpacked
 from vecloom.operators.components import connected_components
 from vecloom.session import materialize
 
@@ -49,13 +49,18 @@ def _floor(percent: int, bins: int, errors: float = 4.0) -> float:
     return p - errors * (p * (1 - p) / bins) ** 0.5
 
 
+def _document_key() -> Column:
+    """What finds a document's text again: doc_id, or a hash of the text where it is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("dk")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls, bands, sketch for every row of ``docs``."""
+    """doc_id, dk, n_shingles, cls, bands, sketch and a row id for every row of ``docs``; written once."""
     small_batches(docs.sparkSession)
 
     def work(batches):
         for b in batches:
-            sets = [sk.shingle_set(t) for t in b.column(1).to_pylist()]
+            sets = [sk.shingle_set(t) for t in b.column(2).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
             low: list = [None] * len(sets)
@@ -65,49 +70,73 @@ def sketches(docs: DataFrame) -> DataFrame:
                 for i, k, v in zip(full, keys, bytes_, strict=True):
                     bands[i], low[i] = k, v.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_key(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())],
-                ["doc_id", "n_shingles", "cls", "bands", "sketch"],
+                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_key(s) for s in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                ["doc_id", "dk", "n_shingles", "cls", "bands", "sketch"],
             )
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(work, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch binary")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _document_key(), F.col("text").cast("string").alias("text"))
+    made = picked.mapInArrow(work, "doc_id long, dk long, n_shingles long, cls binary, bands array<long>, sketch binary")
+    return materialize(made.withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
-    """cls, shingles of the classes in ``wanted`` (cls, rep), from the texts of their rep documents."""
-    ids = BoundedFilter(wanted.where("rep IS NOT NULL"), "rep", count)
-    tested = ids.split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
+class Classes:
+    """The classes of equal shingle sets; a class goes by the smallest row id in it, its node."""
 
-    def work(batches):
-        for b in batches:
-            sets = [sk.shingle_set(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
+    def __init__(self, rows: DataFrame):
+        self.rows = rows.where("cls IS NOT NULL")
+        self.reps = materialize(self.rows.groupBy("cls").agg(F.min("rid").alias("node"), F.count("*").alias("n")), "reps")
+        again = self.rows.select("rid", "cls").join(self.reps.where("n > 1"), "cls").where("rid <> node").select("rid")
+        again = materialize(again, "copies")
+        self.copies = BoundedFilter(again, "rid", again.count())
 
-    made = tested.where("_maybe OR doc_id IS NULL").select("text").mapInArrow(work, "cls binary, shingles binary")
-    return made.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    def get(self, *cols: str) -> DataFrame:
+        """node and these columns, a row a class; only possible copies are shuffled."""
+        tested = self.copies.split(self.rows.select("rid", *cols), "rid")
+        alone, rest = tested.where("NOT _maybe"), tested.where("_maybe").join(self.reps.select(F.col("node").alias("rid")), "rid", "left_semi")
+        return alone.unionByName(rest).select(F.col("rid").alias("node"), *cols)
 
 
-def confirm(edges: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``edges`` whose full sets are linked."""
-    nodes = materialize(edges.select(F.col("a").alias("cls")).union(edges.select("b")).distinct().join(reps, "cls"), "nodes")
-    sets = materialize(full_sets(docs, nodes, nodes.count()), "sets")
-    met = edges.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+def confirm(edges: DataFrame, docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``edges`` whose full sets are linked. Texts travel, which are smaller than their sets."""
+    info = rows.select("rid", "dk", "cls")
+    a, b = (info.select(F.col("rid").alias(x), F.col("dk").alias(f"d{x}"), F.col("cls").alias(f"c{x}")) for x in "ab")
+    known = materialize(edges.join(a, "a").join(b, "b"), "pairs")
+    keys = known.select(F.col("da").alias("dk")).union(known.select("db")).distinct()
+    ids = BoundedFilter(keys, "dk", keys.count())
+    texts = ids.split(docs.select(_document_key(), F.col("text").cast("string").alias("text")), "dk").where("_maybe")
+    ta, tb = texts.select(F.col("dk").alias("da"), F.col("text").alias("ta")), texts.select(F.col("dk").alias("db"), F.col("text").alias("tb"))
+    met = known.join(tb, "db").join(ta, "da").select("a", "b", "ca", "cb", "ta", "tb")
 
     def work(batches):
-        for b in batches:
-            read = lambda i, b=b: (np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(i))
-            good = pa.array([sk.linked(x, y, percent) for x, y in zip(read(2), read(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
-
-    return materialize(met.select("a", "b", "sa", "sb").mapInArrow(work, "a binary, b binary"), "links")
-
-
-def star_edges(classes: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
+        last: tuple = (None, None, None)
+        for x in batches:
+            good = []
+            for ca, cb, text_a, text_b in zip(*(x.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                if text_a != last[0]:
+                    found = sk.shingle_set(text_a)
+                    last = (text_a, found, _class_key(found))
+                other = sk.shingle_set(text_b)
+                # Of rows repeated under one doc_id, those of another class are not meant.
+                good.append(last[2] == ca and sk.linked(last[1], other, percent) and _class_key(other) == cb)
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], ["a", "b"])
+
+    return materialize(met.mapInArrow(work, "a long, b long").distinct(), "links")
+
+
+def bucket_members(classes: Classes) -> DataFrame:
+    """key, band, node, centre, n for the members of buckets with two classes or more; written once."""
+    posted = classes.get("bands").select("node", F.posexplode("bands").alias("band", "key"))
+    stars = materialize(posted.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1"), "stars")
+    maybe = BoundedFilter(stars, "key", stars.count()).split(posted, "key").where("_maybe").drop("_maybe")
+    return materialize(maybe.join(stars, "key").select("key", F.col("band").cast("int").alias("band"), "node", "centre", "n"), "members")
+
+
+def star_edges(classes: Classes, members: DataFrame, percent: int) -> DataFrame:
     """(a, b): the centre and a member of some bucket, where their short sketches agree."""
-    stars = posted.groupBy("band", "key").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = posted.join(stars, ["band", "key"]).where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    short = classes.select("cls", F.substring("sketch", 1, SHORT).alias("short"))
-    met = edges.join(short.select(F.col("cls").alias("b"), F.col("short").alias("kb")), "b").join(short.select(F.col("cls").alias("a"), F.col("short").alias("ka")), "a")
+    edges = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    short = classes.get("sketch").select("node", F.substring("sketch", 1, SHORT).alias("short"))
+    met = edges.join(short.select(F.col("node").alias("b"), F.col("short").alias("kb")), "b").join(short.select(F.col("node").alias("a"), F.col("short").alias("ka")), "a")
     least = _floor(percent, SHORT)
 
     def work(batches):
@@ -118,49 +147,46 @@ def star_edges(classes: DataFrame, posted: DataFrame, percent: int) -> DataFrame
             good = pa.array((x == y).mean(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
 
-    return materialize(met.select("a", "b", "ka", "kb").mapInArrow(work, "a binary, b binary"), "stars")
+    return materialize(met.select("a", "b", "ka", "kb").mapInArrow(work, "a long, b long"), "edges")
 
 
-def inner_edges(classes: DataFrame, posted: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def inner_edges(classes: Classes, members: DataFrame, component: DataFrame, percent: int) -> DataFrame:
     """(a, b): members of one bucket in different components whose sketches agree.
 
     A pair leaves only the first bucket it shares. Buckets over TILE members are compared tile by tile.
     """
-    labelled = posted.join(component, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    mixed = labelled.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "key", "n")
-    members = labelled.join(mixed, ["band", "key"])
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    members = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    dealt = members.select("band", "key", "cls", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("band", "key", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "cls", "comp")
-    data = classes.select("cls", "sketch", F.transform("bands", lambda k: F.pmod(k, F.lit(2**31 - 1)).cast("int")).alias("bands"))
-    rows = dealt.join(data, "cls").repartition("band", "key", "ti", "tj").sortWithinPartitions("band", "key", "ti", "tj")
+    labelled = members.join(component, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component", "centre")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    inside = labelled.join(mixed, "key", "left_semi")
+    inside = inside.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = inside.select("key", "band", "node", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("key", "band", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "node", "comp")
+    data = classes.get("sketch", "bands").select("node", "sketch", F.transform("bands", lambda k: F.pmod(k, F.lit(2**31 - 1)).cast("int")).alias("bands"))
+    rows = dealt.join(data, "node").repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj")
     least = _floor(percent, sk.BINS)
 
     def compare(group):
         band, ti, tj = group["band"][0], group["ti"][0], group["tj"][0]
-        cls = np.array(group["cls"], object)
-        comp = np.unique(np.array(group["comp"], object), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(cls), -1)
-        bands, tile = np.array(group["bands"], np.int32), np.array(group["tile"])
-        for i in range(len(cls) - 1):
-            rest = np.arange(i + 1, len(cls))
+        node, comp, tile = (np.array(group[c], np.int64) for c in ("node", "comp", "tile"))
+        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(node), -1)
+        bands = np.array(group["bands"], np.int32)
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
             rest = rest[(comp[rest] != comp[i]) & ((tile[rest] != tile[i]) if ti != tj else True)]
             if not len(rest):
                 continue
-            first = (bands[rest, :band] == bands[i, :band]).any(axis=1)
-            rest = rest[~first]
+            rest = rest[~(bands[rest, :band] == bands[i, :band]).any(axis=1)]
             rest = rest[(sketch[rest] == sketch[i]).mean(axis=1) >= least]
             for j in rest:
-                yield (cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i])
+                yield min(node[i], node[j]), max(node[i], node[j])
 
     def work(batches):
-        for group in groups_of(batches, ["band", "key", "ti", "tj"]):
+        for group in groups_of(batches, ["key", "ti", "tj"]):
             found = list(compare(group))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
-    return materialize(rows.select("band", "key", "ti", "tj", "tile", "cls", "comp", "sketch", "bands").mapInArrow(work, "a binary, b binary").distinct(), "inner")
+    return materialize(rows.select("key", "band", "ti", "tj", "tile", "node", "comp", "sketch", "bands").mapInArrow(work, "a long, b long").distinct(), "inner")
 
 
 def groups_of(batches, keys: list[str]):
@@ -187,22 +213,21 @@ def groups_of(batches, keys: list[str]):
 
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id for every row of ``docs``."""
-    rows = materialize(sketches(docs), "sketches")
-    reps = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(rows.where("cls IS NOT NULL").dropDuplicates(["cls"]).select("cls", "bands", "sketch"), "classes")
-    posted = classes.select("cls", F.posexplode("bands").alias("band", "key"))
-    links = confirm(star_edges(classes, posted, percent), docs, reps, percent)
-    component = materialize(connected_components(links, "a", "b").withColumnRenamed("node", "cls"), "components")
-    more = inner_edges(classes, posted, component, percent)
+    """doc_id, n_shingles, cls, component_id, members for every row of ``docs``."""
+    rows = sketches(docs)
+    classes = Classes(rows)
+    members = bucket_members(classes)
+    links = confirm(star_edges(classes, members, percent), docs, rows, percent)
+    component = materialize(connected_components(links, "a", "b"), "components")
+    more = inner_edges(classes, members, component, percent)
     if not more.isEmpty():
-        again = confirm(more, docs, reps, percent)
+        again = confirm(more, docs, rows, percent)
         if not again.isEmpty():
-            joined = component.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(again)
-            component = materialize(connected_components(joined, "a", "b").withColumnRenamed("node", "cls"), "components")
-    rooted = rows.select("doc_id", "n_shingles", "cls").join(component, "cls", "left").withColumn("root", F.coalesce("component", "cls")).drop("component")
-    names = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("named"), F.count("*").alias("members"))
-    out = rooted.join(names, "root", "left")
+            component = materialize(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(again), "a", "b"), "components")
+    rooted = classes.reps.join(component, "node", "left").select("cls", F.coalesce("component", "node").alias("root"))
+    named = rows.select("doc_id", "n_shingles", "cls").join(rooted, "cls", "left")
+    names = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("named"), F.count("*").alias("members"))
+    out = named.join(names, "root", "left")
     return out.select("doc_id", "n_shingles", "cls", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("named")).alias("component_id"), F.coalesce("members", F.lit(1)).alias("members"))
 
 
@@ -218,23 +243,20 @@ def keep_rows(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     grouped = materialize(near_components(docs, percent).where("members > 1").select("doc_id", "cls", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "decisions")
     ids = grouped.select("doc_id").distinct()
-    tested = BoundedFilter(ids, "doc_id", ids.count()).split(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id")
-    surely = F.col("_maybe") | F.col("_id").isNull()
-    alone = tested.where(~surely).select(*docs.columns)
-    rest = tested.where(surely).drop("_maybe")
-    schema = T.StructType([*rest.schema.fields, T.StructField("_cls", T.BinaryType())])
-    at = rest.columns.index("text")
+    tested = BoundedFilter(ids, "doc_id", ids.count()).split(packed(docs), "doc_id")
+    surely = F.col("_maybe") | F.col("doc_id").isNull()
+    rest = tested.where(surely).select("row", "doc_id", "text")
+    schema = T.StructType([*rest.schema.fields[:2], T.StructField("cls", T.BinaryType())])
 
     def work(batches):
         for b in batches:
-            keys = pa.array([_class_key(sk.shingle_set(t)) for t in b.column(at).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], [*b.schema.names, "_cls"])
-
-    decisions = grouped.groupBy(F.col("doc_id").alias("_did"), F.col("cls").alias("_dcls")).agg(F.max("kept").alias("_kept"))
-    met = rest.mapInArrow(work, schema)
-    met = met.join(decisions, met["_id"].eqNullSafe(decisions["_did"]) & (met["_cls"] == decisions["_dcls"]), "left")
-    single, paired = met.where("_kept IS NULL").select(*docs.columns), met.where("_kept").dropDuplicates(["_id", "_cls"]).select(*docs.columns)
-    return alone.unionByName(single).unionByName(paired)
+            keys = pa.array([_class_key(sk.shingle_set(t)) for t in b.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), keys], ["row", "doc_id", "cls"])
+
+    decisions = grouped.groupBy(F.col("doc_id").alias("did"), F.col("cls").alias("dcls")).agg(F.max("kept").alias("kept"))
+    met = rest.mapInArrow(work, schema).join(decisions, F.col("doc_id").eqNullSafe(F.col("did")) & (F.col("cls") == F.col("dcls")), "left")
+    single, paired = met.where("kept IS NULL").select("row"), met.where("kept").dropDuplicates(["doc_id", "cls"]).select("row")
+    return unpacked(tested.where(~surely).select("row").unionByName(single).unionByName(paired))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

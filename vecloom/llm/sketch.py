@@ -6,9 +6,10 @@ import numpy as np
 import xxhash
 
 WORDS = 5
+#: Bins of a sketch, of which the first ROWS * BANDS make the bands.
 BINS = 384
-ROWS = 8
-BANDS = BINS // ROWS
+ROWS = 6
+BANDS = 28
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACES = (np.random.default_rng(5).integers(1, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -72,7 +73,7 @@ def densify(values: np.ndarray, full: np.ndarray) -> np.ndarray:
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of each sketch (rows x BANDS)."""
     n = len(sketches)
-    parts = sketches.reshape(n, BANDS, ROWS) * _PLACES[:ROWS]
+    parts = sketches[:, : ROWS * BANDS].reshape(n, BANDS, ROWS) * _PLACES[:ROWS]
     return mixed(parts.sum(axis=2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _PLACES[60])
 
 

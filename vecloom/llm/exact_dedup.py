@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm._common import BoundedFilter, lower_ascii, table
+from vecloom.llm._common import BoundedFilter, lower_ascii, packed, table, unpacked
 from vecloom.session import fresh_path, materialize
 
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
@@ -102,15 +102,15 @@ def keep_rows(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     index = MergeIndex(docs.sparkSession, keep)
     index.flush(docs)
     index.compact()
-    grouped = materialize(index.decide(docs).where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_kept")), "decisions")
-    ids = grouped.select("_id").distinct()
-    tested = BoundedFilter(ids, "_id", ids.count()).split(docs.withColumn("_id", F.col("doc_id").cast("long")), "_id")
-    surely = F.col("_maybe") | F.col("_id").isNull()
-    alone = tested.where(~surely).select(*docs.columns)
-    decisions = grouped.groupBy("_id", "_digest").agg(F.max("_kept").alias("_kept"))
-    rest = tested.where(surely).withColumn("_digest", digest_of(normalised(F.col("text")))).alias("d").join(decisions.alias("k"), F.col("d._id").eqNullSafe(F.col("k._id")) & (F.col("d._digest") == F.col("k._digest")), "left")
-    rest = rest.where(F.col("k._kept").isNull() | F.col("k._kept")).select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("d._id"), F.col("d._digest"))
-    return alone.unionByName(rest.dropDuplicates(["_id", "_digest"]).select(*docs.columns))
+    decided = index.decide(docs).where("group_size > 1")
+    grouped = materialize(decided.select(F.col("doc_id").alias("id"), F.col("digest").alias("dup"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "decisions")
+    ids = grouped.select("id").distinct()
+    tested = BoundedFilter(ids, "id", ids.count()).split(packed(docs), "doc_id")
+    surely = F.col("_maybe") | F.col("doc_id").isNull()
+    rest = tested.where(surely).withColumn("digest", digest_of(normalised(F.col("text"))))
+    decisions = grouped.groupBy("id", "dup").agg(F.max("kept").alias("kept"))
+    met = rest.join(decisions, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("dup")), "left").where("kept IS NULL OR kept")
+    return unpacked(tested.where(~surely).select("row").unionByName(met.dropDuplicates(["doc_id", "digest"]).select("row")))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

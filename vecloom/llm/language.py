@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecloom.llm._common import small_batches, table
+from vecloom.llm._common import packed, small_batches, table, unpacked
 from vecloom.session import materialize
 
 BUCKETS = 1 << 15
@@ -114,13 +115,12 @@ def identify(text: str | None, model: np.ndarray) -> tuple[int, float]:
     return chosen[top], float(min(1.0, shares[top]))
 
 
-def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """``docs[keep]`` (doc_id by default) with lang_pred and score; the text is the last column read."""
-    small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast((languages, model))
-    picked = docs.select(*(keep or [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").cast("string").alias("_text"))
-    names = picked.columns[:-1]
-    schema = picked.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+def predict(rows: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
+    """``rows`` with lang_pred and score in place of their last column, which is the text."""
+    small_batches(rows.sparkSession)
+    held = rows.sparkSession.sparkContext.broadcast((languages, model))
+    names = rows.columns[:-1]
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def work(batches):
         languages, model = held.value
@@ -128,7 +128,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: list
             found = [identify(t, model) for t in b.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([languages[i] if i >= 0 else UNKNOWN for i, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    return picked.mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,13 +140,19 @@ def is_held_out(doc_id: int) -> bool:
 
 
 def keep_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a language: rejected are ``und`` and texts in which none reaches ``least``."""
+    """The rows of ``docs`` with a language: rejected are ``und`` and texts in which none reaches ``least``.
+
+    Where nothing could be learned, nothing is rejected.
+    """
     languages, model = train(docs.where(~held_out(F.col("doc_id"))))
-    found = predict(docs, languages, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    if not languages:
+        return docs
+    found = predict(packed(docs).select("row", "text"), languages, model)
+    return unpacked(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     languages, model = train(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, languages, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), languages, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm._common import bucketed_rank, global_rank, small_batches, table
+from vecloom.llm._common import bucketed_rank, global_rank, packed, small_batches, table, unpacked
 from vecloom.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -129,19 +129,17 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Rows repeated under one doc_id get their copies in turn, so none is lost or doubled.
     """
-    decided = mix(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    decided = decided.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "_copies", "_rows")
-    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k._id")) & F.col("d.source").cast("string").eqNullSafe(F.col("k._src"))
-    single = decided.where("_rows = 1")
-    met = docs.alias("d").join(single.alias("k"), on, "inner").select(*(F.col(f"d.`{c}`") for c in docs.columns), "_copies")
-    again = decided.where("_rows > 1").groupBy("_id", "_src").agg(F.max("_copies").alias("_copies"), F.max("_rows").alias("_rows"))
-    rest = docs.alias("d").join(again.alias("k"), on, "inner").select(*(F.col(f"d.`{c}`") for c in docs.columns), "_copies", "_rows")
-    nth = bucketed_rank(rest.withColumn("_t", F.xxhash64("text")), ["doc_id", "source"], ["_t"], "_nth", 0) if not again.isEmpty() else None
-    out = met
-    if nth is not None:
-        each = F.floor(F.col("_copies") / F.col("_rows"))
-        out = met.unionByName(nth.select(*docs.columns, (each + F.when(F.col("_nth") < F.col("_copies") - each * F.col("_rows"), 1).otherwise(0)).cast("long").alias("_copies")))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    decided = materialize(mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("src")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "copies")
+    held = packed(docs).select("row", "doc_id", "source", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("src"))
+    met = held.join(decided.where("rows = 1"), same).select("row", "copies")
+    again = decided.where("rows > 1")
+    if not again.isEmpty():
+        rest = held.join(again, same).select("row", "doc_id", "source", F.xxhash64("text").alias("tag"), "copies", "rows")
+        nth = bucketed_rank(rest, ["doc_id", "source"], ["tag"], "nth", 0)
+        each = F.floor(F.col("copies") / F.col("rows"))
+        met = met.unionByName(nth.select("row", (each + F.when(F.col("nth") < F.col("copies") - each * F.col("rows"), 1).otherwise(0)).cast("long").alias("copies")))
+    return unpacked(met.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

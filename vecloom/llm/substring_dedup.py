@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecloom.llm._common import BoundedFilter, small_batches, table
+from vecloom.llm._common import BoundedFilter, packed, small_batches, table
 from vecloom.session import materialize
 
 SPAN = 3
@@ -105,32 +106,30 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages cut from text, and n_sentences, n_removed."""
+    """``docs`` with repeated passages cut from text, and n_sentences, n_removed (in place of columns so named)."""
     small_batches(docs.sparkSession)
-    tag = F.coalesce(F.xxhash64("text"), F.lit(0))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.alias("tag"), F.col("text").cast("string").alias("text"))
-    hits = materialize(repeated_spans(keyed), "hits").withColumnsRenamed({"doc_id": "_hid", "tag": "_htag", "at": "_at"})
-    tested = BoundedFilter(hits, "_htag", hits.count()).split(docs.withColumn("_tag", tag), "_tag")
-    alone = tested.where("NOT _maybe").select(*docs.columns, F.lit(None).cast("array<int>").alias("_at"))
-    rest = tested.where("_maybe")
-    met = rest.join(hits, (rest["_tag"] == hits["_htag"]) & rest["doc_id"].cast("long").eqNullSafe(hits["_hid"]), "left").select(*docs.columns, "_at")
+    held = packed(docs).withColumn("tag", F.xxhash64("text"))
+    hits = materialize(repeated_spans(held.select("doc_id", "tag", "text")).select(F.col("doc_id").alias("id"), F.col("tag").alias("htag"), "at"), "hits")
+    tested = BoundedFilter(hits, "htag", hits.count()).split(held, "tag")
+    alone = tested.where("NOT _maybe").select("row", "text", F.lit(None).cast("array<int>").alias("at"))
+    met = tested.where("_maybe").join(hits, (F.col("tag") == F.col("htag")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("row", "text", "at")
     both = alone.unionByName(met)
-    names, column = docs.columns, docs.columns.index("text")
-    schema = both.select(*names).schema.add("n_sentences", "long").add("n_removed", "long")
+    schema = T.StructType([both.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def work(batches):
         for b in batches:
             texts, total, gone = [], [], []
-            for text, at in zip(b.column(column).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+            for text, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 pieces = sentences(text) if text else []
                 out = removed_pieces(pieces, at) if at else set()
                 texts.append("".join(text[s:e] for i, (s, e, _) in enumerate(pieces) if i not in out) if out else text)
                 total.append(len(pieces))
                 gone.append(len(out))
-            cols = [pa.array(texts, pa.string()) if i == column else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_sentences", "n_removed"])
 
-    return both.mapInArrow(work, schema)
+    added = ("n_sentences", "n_removed")
+    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    return both.mapInArrow(work, schema).select(*kept, *added)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

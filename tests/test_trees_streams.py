@@ -38,6 +38,17 @@ def test_tree_invariants(spark, grown):
     assert not tree.test_covering(broken)
 
 
+def test_rebuild_level(spark, grown):
+    _, v, t = grown
+    moved = v.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 4).cast("float")))
+    level = t.agg(F.max("level")).first()[0]
+    new = tree.rebuild_level(t, moved, level)
+    assert new.count() == 60 and tree.test_covering(new) and tree.test_nesting(new)
+    assert tree.root_of(new).first()["uid"] == tree.root_of(t).first()["uid"]
+    with pytest.raises(ValueError):
+        tree.rebuild_level(t, moved, -1000, most=5)
+
+
 def test_tree_of_few(spark):
     assert tree.build(from_matrix(spark, np.zeros((3, 2)))).count() == 3
     assert tree.build(from_matrix(spark, np.zeros((3, 2))).limit(0)).count() == 0

@@ -1,0 +1,404 @@
+"""Operators on documents against brute force, with the awkward rows of ``ROWS`` among them."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from vecloom.llm import exact_dedup, language, minhash, mixing, packing, secret_scan, substring_dedup
+from vecloom.llm import sketch as sk
+from vecloom.llm._common import BoundedFilter
+
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Columns whose names operators use inside.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _maybe string, tag string, kept string, row string, digest string"
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+
+def make_rows():
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randint(3, 150)) for _ in range(40)]
+    base = prose(rng, 200).split()
+    for k in range(12):  # near copies of one text
+        copy = list(base)
+        for _ in range(k // 3):
+            copy[rng.randrange(200)] = "changed"
+        texts.append(" ".join(copy))
+    texts += [texts[3]] * 6 + [texts[4].upper(), "Ünïcode ÄÖ x", "ünïcode äö x", "", "  \t\n ", "a b", "A  b", prose(rng, 9000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, None), (1001, None), (None, "no id here at all"), (None, "no id here at all"), (7, texts[7]), (9, "another text under one id")]
+    return [(i, t, None if (i or 0) % 5 == 0 else "en", None if i is None else f"s{i % 4}" if i % 9 else None, len(t or ""), "x", "x", "x", "x", "x") for i, t in rows]
+
+
+ROWS = make_rows()
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+
+
+def shingles(t):
+    w = words(t)
+    return set(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_bounded_filter_has_no_false_negatives(spark):
+    f = BoundedFilter(spark.range(0, 1000, 2), "id", 500)
+    seen = f.split(spark.range(1000), "id")
+    assert seen.where("id % 2 = 0 AND NOT _maybe").isEmpty() and seen.where("id % 2 = 1 AND _maybe").count() < 50
+
+
+def groups_by_text():
+    g = defaultdict(list)
+    for r in ROWS:
+        g[(r[1] or "").translate(LOW)].append(r[0])
+    return g
+
+
+def test_exact_dedup(docs, none):
+    want = []
+    for text, ids in groups_by_text().items():
+        known = [i for i in ids if i is not None]
+        keep = max(known) if known else None
+        want += [(i, keep, len(ids), i == keep, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
+    got = [tuple(r) for r in exact_dedup.exact_dedup(docs, "largest").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert exact_dedup.exact_dedup(none).count() == 0
+
+
+def test_exact_keep_rows(docs, none):
+    kept = exact_dedup.keep_rows(docs, "largest")
+    assert kept.columns == docs.columns
+    texts = [(r["text"] or "").translate(LOW) for r in kept.collect()]
+    assert sorted(texts) == sorted(groups_by_text())
+    assert exact_dedup.keep_rows(none).count() == 0
+
+
+def test_exact_index_lookup_and_clashes(spark, docs, monkeypatch):
+    index = exact_dedup.MergeIndex(spark, "smallest")
+    index.flush(docs.where("doc_id < 20"))
+    index.flush(docs.where("doc_id >= 20"))
+    merged = index.compact()
+    some = merged.where("group_size > 1").first()
+    assert index.lookup([some["digest"]]).first()["keep_id"] == some["keep_id"]
+    with pytest.raises(ValueError):
+        exact_dedup.MergeIndex(spark, "any")
+    real = exact_dedup.digest_of
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda norm: exact_dedup.F.substring(real(norm), 1, 1))  # clashes abound
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs.where("doc_id < 60 AND doc_id <> 7 AND doc_id <> 9"), "largest").collect()}
+    g = defaultdict(list)
+    for r in ROWS:
+        if r[0] is not None and r[0] < 60 and r[0] not in (7, 9):
+            g[(r[1] or "").translate(LOW)].append(r[0])
+    assert got == {(i, max(ids), len(ids)) for ids in g.values() for i in ids}
+
+
+def components(percent):
+    sets = [shingles(r[1]) for r in ROWS]
+    parent = list(range(len(ROWS)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    by = defaultdict(list)
+    for i in range(len(ROWS)):
+        by[find(i)].append(i)
+    return sets, by
+
+
+def test_near_dedup(docs, none):
+    sets, by = components(85)
+    want = []
+    for at in by.values():
+        ids = [ROWS[i][0] for i in at if ROWS[i][0] is not None]
+        for i in at:
+            name = min(ids) if ids and sets[i] else ROWS[i][0]
+            want.append((ROWS[i][0], len(sets[i]), name, ROWS[i][0] == name))
+    got = [tuple(r) for r in minhash.near_dedup(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert minhash.near_dedup(none).count() == 0
+
+
+def test_near_keep_rows(docs, none):
+    sets, by = components(80)
+    kept = minhash.keep_rows(docs, 80)
+    assert kept.columns == docs.columns
+    want = sum(1 if sets[at[0]] else len(at) for at in by.values())
+    assert kept.count() == want and minhash.keep_rows(none).count() == 0
+
+
+def test_links_that_no_centre_sees(spark, monkeypatch):
+    """x - y - z in a row: y links both, x and z are too far apart, whatever the centre is."""
+    rng = random.Random(3)
+    base = [f"t{i}" for i in range(300)]
+    rows = []
+    for c in range(30):
+        y = list(base)
+        for k in range(4):
+            y[(c * 9 + k * 71) % 300] = f"c{c}k{k}"
+        x, z = list(y), list(y)
+        for k in range(4):
+            x[rng.randrange(300)], z[rng.randrange(300)] = f"x{c}{k}", f"z{c}{k}"
+        rows += [(3 * c + i, " ".join(t)) for i, t in enumerate((x, z, y))]
+    monkeypatch.setattr(minhash, "TILE", 16)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
+def test_sketches_estimate_similarity():
+    rng = random.Random(1)
+    a = prose(rng, 500, 10**6)
+    b = a.split()
+    b[100:140] = prose(rng, 40, 10**6).split()
+    sets = [sk.shingle_set(a), sk.shingle_set(" ".join(b)), sk.shingle_set("x y")]
+    true = len(set(sets[0]) & set(sets[1])) / len(set(sets[0]) | set(sets[1]))
+    s = sk.sketch_sets(sets)
+    assert abs((s[0] == s[1]).mean() - true) < 0.08 and (s[2] == s[2][0]).all()
+    assert sk.linked(sets[0], sets[1], int(100 * true)) and not sk.linked(sets[0], sets[1], int(100 * true) + 1)
+
+
+def test_mixing(docs, none):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(ROWS)
+    size, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in got:
+        assert 0 <= r["copies"] <= 3
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["copies"] * r["size"]
+        target[r["source"]] = r["target"]
+    want = defaultdict(int)
+    for r in ROWS:
+        want[r[3]] += len(words(r[1]))
+    assert dict(size) == dict(want)
+    order = sorted((s for s in want if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    held = set()
+    while True:
+        level = (sum(want.values()) - sum(3 * want[s] for s in held)) / sum(weight[s] for s in order if s not in held)
+        over = {s for s in order if s not in held and weight[s] * level > 3 * want[s]}
+        if not over:
+            break
+        held |= over
+    for s in order:
+        assert target[s] == pytest.approx(3 * want[s] if s in held else weight[s] * level)
+        # No mix of whole documents is always near; the miss is under half the largest one.
+        assert abs(taken[s] - target[s]) <= max(len(words(r[1])) for r in ROWS if r[3] == s) / 2 + 12
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=str)
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in got)
+
+
+def test_rates_meet_their_target():
+    import numpy as np
+
+    size, n = np.array([5000, 300, 20, 1]), np.array([2, 50, 100, 7])
+    for share in (0.05, 0.5, 1.0, 2.2, 2.99):
+        r = mixing.solve_rates(size, n, share * (size @ n))
+        assert (size * n) @ r == pytest.approx(share * (size @ n)) and (r <= 3).all()
+        assert abs(mixing.round_copies(size, n, r) @ size - share * (size @ n)) <= 300
+    assert mixing.solve_rates(size, n, 3.0 * (size @ n)).tolist() == [3.0] * 4
+
+
+def tokenizer():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(t, text):
+    return [*t.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_token_ids_equal_the_tokenizers_library():
+    t, coder = tokenizer(), packing.byte_bpe()
+    odd = ["", " ", "a", " a", "a ", "a  b", "a \n b", "\n\n x", "it's  we'll", "é ü x y", "<|endoftext|> a <|endoftext|>b", "tab\t\tx \t y", "漢字 かな", "1234 56", "\x1c a", "x\r\n y"]
+    for text in odd + [r[1] for r in ROWS if r[1]]:
+        assert [int.from_bytes(coder.encode(text)[i : i + 4], "little") for i in range(0, len(coder.encode(text)), 4)] == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing(docs, none):
+    t = tokenizer()
+    got = packing.pack(docs).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append(r)
+    padding = 0
+    for rows in by.values():
+        at = 0
+        for r in sorted(rows, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert sorted(by) == list(range(len(by))) and padding < 2048 * 3
+    want = []
+    for r in ROWS:
+        ids = ids_of(t, r[1])
+        start = 0
+        for n in packing.cut_lengths(len(ids)):
+            raw = b"".join(i.to_bytes(4, "little") for i in ids[start : start + n])
+            want.append((r[0], start, n, zlib.crc32(raw), len(ids)))
+            start += n
+        assert start == len(ids)
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    assert packing.pack(none).count() == 0
+
+
+def test_pack_histogram_places_all():
+    rng = random.Random(2)
+    hist = {rng.randint(1, 2048): rng.randint(1, 10**7) for _ in range(500)} | {1: 5, 2048: 3}
+    patterns = packing.pack_histogram(hist)
+    placed = defaultdict(int)
+    for count, pattern in patterns:
+        assert sum(n * k for n, k in pattern) <= 2048
+        for n, k in pattern:
+            placed[n] += count * k
+    assert dict(placed) == hist and len(patterns) < 3000
+
+
+def test_secret_scan(spark, docs, none):
+    key = "AKIA" + "Q7X2" * 4
+    token = "x9Fq2LmZ7vKp4Rt8Wb3Nc6Yd1Hs5Jg0"
+    text = f"é password: 'hunter2hunter2' token=abc {key} api_key = \"a1b2c3d4e5f6\" " + "0123456789abcdef" * 2 + f" then {token} and get_user_account_by_email_address2 end"
+    got = secret_scan.scan(spark.createDataFrame([(1, text), (2, None), (3, "clean words only")], "doc_id long, text string")).orderBy("doc_id").collect()
+    base = []
+    for kind, pattern in (("assign", secret_scan.ASSIGN), ("access", re.compile(r"AKIA[A-Z0-9]+")), ("hex", re.compile(r"[0-9a-f]+"))):
+        for m in pattern.finditer(text):
+            if (kind == "assign" and len(m[2]) >= 8) or (kind == "access" and len(m[0]) >= 16) or (kind == "hex" and len(m[0]) >= 32):
+                base.append((m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}"))
+    joined = ",".join(x for *_, x in sorted(base))
+    assert got[0]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+    assert (got[0]["n_assign"], got[0]["n_access"], got[0]["n_hex"], got[0]["n_random"]) == (2, 1, 1, 1)
+    assert f"random:{text.index(token)}:{text.index(token) + len(token)}" in got[0]["spans"] and joined.split(",")[0] in got[0]["spans"]
+    assert got[1]["spans"] == got[2]["spans"] == "" and got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert secret_scan.scan(docs).count() == len(ROWS) and secret_scan.scan(none).count() == 0
+    clean = secret_scan.redact(spark.createDataFrame([(text,)], "text string")).first()["text"]
+    assert token not in clean and "hunter2" not in clean and clean.startswith("é [secret]")
+
+
+def test_markov_ratio_held_out():
+    rng = random.Random(77)
+    ratio = secret_scan.train()
+    good = sum(ratio.score(s) > secret_scan.THRESHOLD for s in secret_scan.random_strings(rng, 1000))
+    bad = sum(ratio.score(s) > secret_scan.THRESHOLD for s in secret_scan.identifiers(rng, 1000))
+    assert good >= 990 and bad <= 10
+
+
+def test_language_id(spark, none):
+    rng = random.Random(4)
+    lex = {"aa": "the and that with from these those".split(), "bb": "der die und nicht mit auf einer".split(), "cc": "les des une dans pour avec cette".split()}
+    rows = [(i, " ".join(rng.choices(lex[lang], k=40)), lang) for i in range(300) for lang in [rng.choice("abc") * 2]]
+    rows += [(1000, None, "aa"), (1001, "123 456 !?", "bb"), (1002, "", None), (None, rows[0][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, model = language.train(df.where(~language.held_out(df["doc_id"])))
+    assert names == ["aa", "bb", "cc"]
+    got = {r["doc_id"]: r for r in language.predict(df.select("doc_id", "text"), names, model).collect()}
+    held = [(i, lang) for i, _, lang in rows[:300] if language.is_held_out(i)]
+    assert sum(got[i]["lang_pred"] == lang for i, lang in held) >= 0.97 * len(held)
+    assert all(got[i]["lang_pred"] == "und" for i in (1000, 1001, 1002)) and got[1000]["score"] == 0
+    at, share = language.identify(" ".join(rng.choices(lex["aa"], k=70) + rng.choices(lex["bb"], k=30)), model)
+    assert names[at] == "aa" and 0.5 < share < 0.9
+    kept = language.keep_rows(df)
+    assert kept.count() == 301 and kept.columns == df.columns
+    assert language.train(none) [0] == [] and language.keep_rows(none).count() == 0
+    nothing = language.predict(df.select("doc_id", "text"), [], model[:0])
+    assert nothing.where("lang_pred <> 'und'").isEmpty()
+
+
+def test_held_out_equals_sql(spark):
+    import pyspark.sql.functions as F
+
+    got = {r["id"]: r["h"] for r in spark.range(50).select("id", language.held_out(F.col("id")).alias("h")).collect()}
+    assert got == {i: language.is_held_out(i) for i in range(50)}
+
+
+def test_substring_dedup(spark, docs, none):
+    rng = random.Random(6)
+    say = lambda: " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randint(6, 14))).capitalize() + "."
+    passage = " ".join(say() for _ in range(8))
+    plain = " ".join(f"z{rng.randrange(10**6)}" for _ in range(200))
+    texts = [" ".join([say() for _ in range(5)] + ([passage] if i % 2 else []) + [say() for _ in range(4)]) for i in range(8)]
+    texts += [f"{say()} {plain}", f"{say()} {plain}", "Short. Same. Lines.", "Short. Same. Lines.", None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[1])]
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"] == texts[1] and passage not in got[3]["text"] + got[5]["text"] + got[7]["text"]
+    assert all(got[i]["text"] == texts[i] for i in (0, 2, 4, 6, 10, 11, 12, 13))
+    for i in (3, 5, 7):
+        head, tail = texts[i].split(passage)
+        assert got[i]["text"] == head + tail.lstrip() and got[i]["n_removed"] == 8
+    assert len(got[9]["text"].split()) < 60 and got[None]["n_removed"] > 0
+    out = substring_dedup.substring_dedup(docs)
+    assert out.count() == len(ROWS) and out.columns == [*docs.columns, "n_sentences", "n_removed"]
+    assert substring_dedup.substring_dedup(none).count() == 0
+
+
+def test_sentences_are_a_partition():
+    for _, t, *_ in ROWS:
+        if t:
+            assert "".join(t[s:e] for s, e, _ in substring_dedup.sentences(t)) == t
+
+
+def test_pipeline_stages(spark, docs, none):
+    now, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, "")
+        if name != "packing":
+            assert out.columns == docs.columns
+        seen.append(out.count())
+        now = out.cache()
+    texts = [(r[1] or "").translate(LOW) for r in ROWS if any(map(str.isalpha, r[1] or ""))]
+    assert seen[0] == len(texts) and seen[1] == len(set(texts)) and 0 < seen[2] <= seen[1] and seen[4] > 0
+    empty = none
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, "")
+    assert empty.count() == 0
+
+
+def test_exact_dedup_sql(spark, tmp_path, docs):
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(str, c.sql(f"SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM ({exact_dedup.ORACLE_SQL})").fetchall()))
+    got = exact_dedup.op10_exact_dedup(spark, str(tmp_path)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(str(tuple(r)) for r in got.collect()) == want

@@ -15,7 +15,7 @@ from vecloom.session import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or in no language by half, go."""
+    """Documents with a language; those without a letter, or in no language by a third, go."""
     return language.keep_rows(docs)
 
 

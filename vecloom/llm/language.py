@@ -139,7 +139,7 @@ def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def keep_rows(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_rows(docs: DataFrame, least: float = 0.34) -> DataFrame:
     """The rows of ``docs`` with a language: rejected are ``und`` and texts in which none reaches ``least``.
 
     Where nothing could be learned, nothing is rejected.

@@ -1,11 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are a bounded sample of the vectors. Every vector is represented by its nearest pivots in
-order; blocks of vectors carry an inverted file that posts, for each pivot, the vectors that have it
-and at which place. A query adds up the footrule distance to all vectors of a block along the postings
-of its own pivots (a vector without a pivot counts as having it one place beyond the last), the
-closest share is reranked by the exact inner product in double precision, and the best of each block
-meet by query.
+order; blocks of vectors carry an inverted file that posts, for each pivot, at which place each vector
+has it (vectors that lack it stand one place beyond the last). A query adds up the footrule distance
+to the vectors of a block along the postings of its own ASKED nearest pivots, the closest share is
+reranked by the exact inner product in double precision, and the best of each block meet by query.
 
 Vectors are lengthened by one component that gives them all the same norm, which makes the nearest
 vectors those of largest inner product whatever their norms; queries get a zero there.
@@ -31,6 +30,8 @@ from vecloom.session import materialize
 PIVOTS = 128
 #: Nearest pivots that represent a vector.
 PLACES = 64
+#: Nearest pivots whose postings a query reads.
+ASKED = 32
 #: Share of a block that is reranked, and the least number.
 SHARE, LEAST = 0.2, 512
 BLOCK = 4096
@@ -54,22 +55,20 @@ def permutations(lengthened: np.ndarray, pivots: np.ndarray, places: int) -> np.
 
 
 def build(fine: DataFrame, pivots: np.ndarray, radius: float, places: int, block: int) -> DataFrame:
-    """Blocks of vectors with their inverted files: ids, vecs, starts, posted, place."""
+    """Blocks of vectors with their inverted files: ids, vecs, and the places of all vectors, pivot by pivot."""
     small_batches(fine.sparkSession)
     held = fine.sparkSession.sparkContext.broadcast(pivots)
-    kinds = [pa.int64(), *[pa.binary()] * 5]
-    names = ["n", "ids", "vecs", "starts", "posted", "place"]
+    kinds = [pa.int64(), *[pa.binary()] * 3]
+    names = ["n", "ids", "vecs", "posted"]
 
     def sealed(ids, vecs):
         x = np.vstack(vecs)
         ids = np.concatenate(ids)
         extra = np.sqrt(np.maximum(radius**2 - (x * x).sum(axis=1), 0.0))
         perm = permutations(np.column_stack((x, extra)), held.value, places)
-        flat = perm.ravel()
-        order = np.argsort(flat, kind="stable")
-        starts = np.searchsorted(flat[order], np.arange(len(held.value) + 1)).astype(np.int32)
-        row, place = np.divmod(order, perm.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((len(x), ids.tobytes(), x.tobytes(), starts.tobytes(), row.astype(np.int32).tobytes(), place.astype(np.uint8).tobytes()), kinds, strict=True)], names)
+        posted = np.full((len(held.value), len(x)), perm.shape[1], np.uint8)
+        posted[perm.T, np.arange(len(x))] = np.arange(perm.shape[1], dtype=np.uint8)[:, None]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((len(x), ids.tobytes(), x.tobytes(), posted.tobytes()), kinds, strict=True)], names)
 
     def work(batches):
         ids, vecs, n = [], [], 0
@@ -88,7 +87,7 @@ def build(fine: DataFrame, pivots: np.ndarray, radius: float, places: int, block
         if n:
             yield sealed(ids, vecs)
 
-    return materialize(fine.mapInArrow(work, "n long, ids binary, vecs binary, starts binary, posted binary, place binary"), "pivots")
+    return materialize(fine.mapInArrow(work, "n long, ids binary, vecs binary, posted binary"), "pivots")
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, perms: np.ndarray, part: dict, k: int, share: float):
@@ -96,21 +95,20 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, perms: np.ndarray,
     n = part["n"]
     ids = np.frombuffer(part["ids"], np.int64)
     vecs = np.frombuffer(part["vecs"]).reshape(n, -1)
-    starts = np.frombuffer(part["starts"], np.int32)
-    posted, place = np.frombuffer(part["posted"], np.int32), np.frombuffer(part["place"], np.uint8)
-    places = perms.shape[1]
     wanted = min(n, max(LEAST, k + 1, int(np.ceil(share * n))))
+    posted = np.frombuffer(part["posted"], np.uint8).reshape(-1, n).astype(np.int16) if wanted < n else None
+    place = np.arange(min(ASKED, perms.shape[1]), dtype=np.int16)[:, None]
     for q in range(len(queries)):
+        near = np.arange(n)
         if wanted < n:
-            # |place in query - place in vector| less the charge for a pivot that a vector lacks
-            score = np.zeros(n, np.float32)
-            for r, p in enumerate(perms[q]):
-                s, e = starts[p], starts[p + 1]
-                score[posted[s:e]] += np.abs(place[s:e].astype(np.float32) - r) - (places - r) - (places - place[s:e].astype(np.float32))
-            near = np.argpartition(score, wanted - 1)[:wanted]
-        else:
-            near = np.arange(n)
+            apart = posted[perms[q, : len(place)]]
+            apart -= place
+            footrule = np.abs(apart, out=apart).sum(axis=0, dtype=np.int16)
+            near = np.argpartition(footrule, wanted - 1)[:wanted]
         near = near[ids[near] != query_ids[q]]
+        close = vecs[near] @ queries[q]
+        if len(near) > k:  # the product is good to a few ulps; what could be among the best is summed exactly
+            near = near[close >= np.partition(close, len(near) - k)[len(near) - k] - 1e-9 * (1 + np.abs(close).max())]
         exact = (vecs[near] * queries[q]).sum(axis=1)
         best = np.lexsort((ids[near], -exact))[:k]
         yield q, ids[near][best], exact[best]

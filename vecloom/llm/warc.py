@@ -1,11 +1,11 @@
 """WARC archives with a two-level capture index.
 
-Records are written in the order of their reversed-host URL keys, in range partitions, by Spark's text
-sink: a row is a record's header and block, and the line separator is the record's end, so each part
-file is a plain WARC file in any store that Spark can write. The index is built from the archives as
-they were written: sorted lines (key, page, file, offset, length, type) in compressed blocks of
-BLOCK_LINES, and a sparse directory with the first and last key of each block. A lookup binary-searches
-the directory, then the block, and reads byte ranges of the archives.
+Records are written as they are read, by Spark's text sink: a row is a record's header and block, and
+the line separator is the record's end, so each part file is a plain WARC file in any store that Spark
+can write. The index is built from the archives as they were written: lines (key, page, file, offset,
+length, type) sorted by reversed-host URL key over all files, in compressed blocks of BLOCK_LINES, and
+a sparse directory with the first and last key of each block. A lookup binary-searches the directory,
+then the block, and reads byte ranges of the archives.
 
 Of records with equal payloads of at least ``least_bytes`` bytes, that with the largest page_id is a
 response; the others revisit it and have no payload of their own.
@@ -30,11 +30,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm._common import small_batches, table
+from vecloom.llm._common import BoundedFilter, small_batches, table
 from vecloom.session import fresh_path, materialize
 
 RECORD_END = "\r\n\r\n"
-#: Bytes of payload a file holds on average.
+#: Bytes of payload a file holds on average; files are split by their number of records.
 FILE_BYTES = 16 << 20
 BLOCK_LINES = 1000
 #: Most directory entries that a lookup broadcasts; beyond, keys meet the decoded lines by a join.
@@ -43,6 +43,14 @@ DATE = "2024-01-01T00:00:00Z"
 
 _URL = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
 ENTRY = "key string, page_id long, file string, offset long, length long, type string, refers_to long"
+BLOCK = "block string, first_key string, last_key string, lines long, data binary"
+
+
+def _lines(rows: list) -> pa.RecordBatch:
+    """Index lines as a batch of ENTRY."""
+    cols = list(zip(*rows, strict=True)) or [()] * 7
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "page_id", "file", "offset", "length", "type", "refers_to"])
 
 
 def url_key(url: str | None) -> str:
@@ -112,18 +120,22 @@ class Archive:
         groups = seen.groupBy("tag").agg(F.max("page_id").alias("held"), F.count("*").alias("rows"), F.min("page_id").alias("low"))
         groups = groups.where((F.col("rows") > 1) & (F.col("tag.n") >= least_bytes) & F.col("held").isNotNull() & (F.col("low") < F.col("held")))
         refers = seen.join(groups.select("tag", "held"), "tag").where("page_id < held").select(F.col("page_id").alias("_pid"), F.col("tag.sha256").alias("_sha"), "held").distinct()
+        refers = materialize(refers, "revisits")
+        # Only pages that may be revisits travel to their reference.
+        tested = BoundedFilter(refers, "_pid", refers.count()).split(keyed, "page_id")
+        alone = tested.where("NOT _maybe").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
         on = (F.col("p.page_id") == F.col("r._pid")) & (F.col("p.tag.sha256") == F.col("r._sha"))
-        marked = keyed.alias("p").join(materialize(refers, "revisits").hint("shuffle_hash").alias("r"), on, "left").select("p.page_id", "p.url", "p.html", F.col("r.held").alias("refers_to"))
+        met = tested.where("_maybe").alias("p").join(refers.alias("r"), on, "left").select("p.page_id", "p.url", "p.html", F.col("r.held").alias("refers_to"))
+        marked = alone.unionByName(met)
 
         def records(batches):
             for b in batches:
                 page_id, url, page, refers_to = (c.to_pylist() for c in b.columns)
-                yield pa.RecordBatch.from_arrays([pa.array(map(url_key, url), pa.string()), b.column(0), pa.array(map(record, page_id, url, page, refers_to), pa.string())], ["key", "page_id", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(record, page_id, url, page, refers_to), pa.string())], ["value"])
 
-        made = marked.mapInArrow(records, "key string, page_id long, value string")
-        files = max(1, -(-total // file_bytes))
-        ordered = made.repartitionByRange(files, "key", "page_id").sortWithinPartitions("key", "page_id")
-        ordered.select("value").write.option("lineSep", RECORD_END).text(found.records)
+        rows = seen.count()
+        each = max(1, rows * file_bytes // max(total, 1))  # records of average size that fill a file
+        marked.mapInArrow(records, "value string").write.option("lineSep", RECORD_END).option("maxRecordsPerFile", each).text(found.records)
         found.build_index()
         return found
 
@@ -133,29 +145,43 @@ class Archive:
         def scan(batches):
             for b in batches:
                 for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    data, at, lines, blocks = data.as_buffer().to_pybytes(), 0, [], []
+                    data, at, lines = data.as_buffer().to_pybytes(), 0, []
                     while at < len(data):
                         fields, _, after = read_record(data, at)
-                        lines.append([url_key(fields["WARC-Target-URI"]), page_of(fields["WARC-Record-ID"]), file, at, after - at, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To"))])
+                        lines.append((url_key(fields["WARC-Target-URI"]), page_of(fields["WARC-Record-ID"]), file, at, after - at, fields["WARC-Type"], page_of(fields.get("WARC-Refers-To"))))
                         at = after
-                    lines.sort(key=lambda x: (x[0], x[3]))
-                    for i in range(0, len(lines), BLOCK_LINES):
-                        part = lines[i : i + BLOCK_LINES]
-                        blocks.append((file, part[0][0], part[-1][0], len(part), zlib.compress("\n".join(map(json.dumps, part)).encode())))
-                    cols = list(zip(*blocks, strict=True)) or [()] * 5
-                    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file", "first_key", "last_key", "lines", "data"])
+                    yield _lines(lines)
+
+        def pack(batches):
+            from pyspark import TaskContext
+
+            held, n = [], 0
+
+            def block():
+                part = TaskContext.get().partitionId()
+                data = zlib.compress("\n".join(map(json.dumps, held)).encode())
+                return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((f"{part}-{n}", pa.string()), (held[0][0], pa.string()), (held[-1][0], pa.string()), (len(held), pa.int64()), (data, pa.binary()))], ["block", "first_key", "last_key", "lines", "data"])
+
+            for b in batches:
+                for line in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    held.append(line)
+                    if len(held) == BLOCK_LINES:
+                        yield block()
+                        held, n = [], n + 1
+            if held:
+                yield block()
 
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.records).select("path", "content")
-        made = files.mapInArrow(scan, "file string, first_key string, last_key string, lines long, data binary")
-        made.repartitionByRange("first_key", "file").sortWithinPartitions("first_key", "file").write.parquet(self.blocks)
+        lines = materialize(files.mapInArrow(scan, ENTRY), "lines")
+        ordered = lines.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+        ordered.mapInArrow(pack, BLOCK).write.parquet(self.blocks)
 
     def index(self) -> DataFrame:
-        return self.spark.read.schema("file string, first_key string, last_key string, lines long, data binary").parquet(self.blocks)
+        return self.spark.read.schema(BLOCK).parquet(self.blocks)
 
     def directory(self) -> DataFrame:
-        """One row a block: first_key, last_key, file."""
-        return self.index().select("first_key", "last_key", "file")
+        """One row a block: first_key, last_key, block."""
+        return self.index().select("first_key", "last_key", "block")
 
     def entries(self, blocks: DataFrame | None = None) -> DataFrame:
         """The index lines of all blocks, or of these."""
@@ -163,9 +189,7 @@ class Archive:
         def decode(batches):
             for b in batches:
                 for data in b.column(0).to_pylist():
-                    cols = list(zip(*map(json.loads, zlib.decompress(data).decode().split("\n")), strict=True))
-                    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "page_id", "file", "offset", "length", "type", "refers_to"])
+                    yield _lines(list(map(json.loads, zlib.decompress(data).decode().split("\n"))))
 
         return (self.index() if blocks is None else blocks).select("data").mapInArrow(decode, ENTRY)
 
@@ -179,7 +203,7 @@ class Archive:
         keys = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(key_of, "key string").distinct()
         if self.index().count() > limit:
             return self.entries().join(keys, "key", "left_semi")
-        rows = sorted((r["first_key"], r["last_key"], r["file"]) for r in self.directory().toLocalIterator())
+        rows = sorted((r["first_key"], r["last_key"], r["block"]) for r in self.directory().toLocalIterator())
         held = self.spark.sparkContext.broadcast(([r[0] for r in rows], rows))
 
         def search(batches):
@@ -190,15 +214,15 @@ class Archive:
                     i = bisect.bisect_right(firsts, key) - 1
                     while i >= 0:  # a key may fill several blocks; those before end under it
                         if rows[i][1] >= key:
-                            out.append((key, rows[i][0], rows[i][2]))
+                            out.append((key, rows[i][2]))
                         elif rows[i][0] < key and (i == 0 or rows[i - 1][1] < key):
                             break
                         i -= 1
-                cols = list(zip(*out, strict=True)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["key", "first_key", "file"])
+                cols = list(zip(*out, strict=True)) or [()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["key", "block"])
 
-        wanted = keys.mapInArrow(search, "key string, first_key string, file string")
-        blocks = self.index().join(wanted.select("first_key", "file").distinct(), ["first_key", "file"], "left_semi")
+        wanted = keys.mapInArrow(search, "key string, block string").select("block").distinct()
+        blocks = self.index().join(wanted, "block", "left_semi")
         return self.entries(blocks).join(keys, "key", "left_semi")
 
     def read(self, entries: DataFrame) -> DataFrame:

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op2_minhash": minhash.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -283,3 +283,12 @@ def captures(archive: Archive) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(Archive.write(table(spark, sf_dir, "pages")))
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS held FROM pages),
+b AS (SELECT *, unhex(sha1(html))::BIT::VARCHAR AS bits FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: substr(bits, i * 5 + j + 1, 1)::INT * (16 >> j)))::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = held THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = held THEN NULL ELSE held END AS refers_to FROM b
+"""

@@ -373,6 +373,24 @@ def test_substring_dedup(spark, docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_of_few_long_sentences(spark):
+    rng = random.Random(61)
+    say = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    passages = ["one " + say(50) + ".", say(28) + ". " + say(28) + ".", say(40) + ". " + say(40) + ".", ". ".join(say(20) for _ in range(3)), say(51), say(55)]
+    texts, left = [], {}
+    for i, p in enumerate(passages * 4):
+        head, tail = (f"{say(30)}. {say(9)}", f"{say(8)}. {say(30)}.") if i % 12 < 6 else (say(70), say(70))  # in the middle of a sentence
+        left[i] = f"{head} {tail}" if i >= len(passages) else f"{head} {p} {tail}"
+        texts.append((i, f"{head} {p} {tail}"))
+    short = say(50)
+    for i in (100, 101):  # fifty words are no passage
+        left[i] = f"{say(30)} {short} {say(30)}"
+        texts.append((i, left[i]))
+    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i: r["text"] for i, r in got.items()} == left
+    assert all((r["n_removed"] > 0) == (6 <= i < 100) for i, r in got.items())
+
+
 def test_sentences_are_a_partition():
     for _, t, *_ in ROWS:
         if t:

@@ -1,4 +1,4 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding sentence spans and sliding word spans.
 
 Every run of SPAN consecutive sentences is hashed and joined globally. The first occurrence of a run,
 by (doc_id, position), stays; sentences covered by any other occurrence go, if the covered stretch has
@@ -6,17 +6,24 @@ MIN_WORDS words or more, so that single repeated lines stay. Sentences end at .
 and at line ends; in sentences of more than LONG words, words chosen by their hash end a piece, so that
 a passage without punctuation is cut alike wherever it stands.
 
-Cases: a null text stays null; texts of fewer sentences than SPAN are left alone. A null doc_id comes
-after all others. Rows with the same doc_id and text are one document and share its fate. Case and
-white space do not matter to a run. Runs are compared as 64-bit hashes. An empty table gives an empty
-table.
+Besides, every stretch of RUN words that occurred before goes, wherever sentences begin and end. Of the
+windows of GRAM words in a stretch, the one of least hash stands for it; it depends on the words alone, so
+a stretch can only recur where its window does. Windows, two for 27 words, are counted globally, and all
+stretches of a recurring one are then compared. No stretch is missed.
+
+Cases: a null text stays null; texts of fewer sentences than SPAN and fewer words than RUN are left alone.
+A null doc_id comes after all others. Rows with the same doc_id and text are one document and share its
+fate. Case and white space do not matter to a run. Runs are compared as 64-bit hashes. n_removed counts
+sentences removed whole or in part. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +36,9 @@ from vecloom.session import materialize
 SPAN = 3
 MIN_WORDS = 25
 LONG = 40
+RUN, GRAM = 51, 26
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 _END = re.compile(r"[.!?]+(?=\s)|\n+")
 _WORD = re.compile(r"\S+")
 
@@ -78,31 +88,149 @@ def removed_pieces(pieces: list[tuple[int, int, int]], at: list[int]) -> set[int
     return out
 
 
+def word_hashes(text: str) -> np.ndarray:
+    words = "\n".join(text.lower().split()).encode("utf-8", "surrogatepass").split(b"\n")
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of every ``k`` consecutive words, from the hashes of the words."""
+    n = len(h)
+    if n < k:
+        return np.empty(0, np.uint64)
+    up, down = (np.multiply.accumulate(np.full(n, x, np.uint64)) for x in (_STEP, _BACK))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+    g = (total[k:] - total[:-k]) * down[: n - k + 1]
+    for by, x in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        g = (g ^ (g >> np.uint64(by))) * np.uint64(x)
+    return g ^ (g >> np.uint64(33))
+
+
+def least(a: np.ndarray, k: int) -> np.ndarray:
+    """The least of every ``k`` consecutive values."""
+    if len(a) < k:
+        return a[:0]
+    w = 1
+    while 2 * w <= k:
+        a, w = np.minimum(a[:-w], a[w:]), 2 * w
+    return np.minimum(a[: len(a) - (k - w)], a[k - w :])
+
+
+def chosen(h: np.ndarray) -> np.ndarray:
+    """For every stretch of RUN words, the least hash of its windows of GRAM words."""
+    return least(rolling(h, GRAM), RUN - GRAM + 1)
+
+
+def marks(h: np.ndarray) -> np.ndarray:
+    """The hashes of all windows that some stretch chose, one for each place."""
+    g, width = rolling(h, GRAM), RUN - GRAM + 1
+    if len(g) < width:
+        return g[:0]
+    edge = np.zeros(width - 1, np.uint64)
+    return g[g == ~least(~np.concatenate([edge, least(g, width), edge]), width)]
+
+
 def spans(keyed: DataFrame) -> DataFrame:
-    """h, doc_id, tag, pos of every run; ``keyed`` has doc_id, tag, text."""
+    """h, doc_id, tag, pos of every run of sentences, and of every mark with pos -1; ``keyed`` has doc_id, tag, text."""
 
     def work(batches):
         for b in batches:
             h, ids, tags, pos = [], [], [], []
             for doc_id, tag, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 found = span_hashes(text, sentences(text)) if text else []
-                h += found
-                ids += [doc_id] * len(found)
-                tags += [tag] * len(found)
-                pos += range(len(found))
+                words = marks(word_hashes(text)).view(np.int64).tolist() if text else []
+                h += found + words
+                ids += [doc_id] * (len(found) + len(words))
+                tags += [tag] * (len(found) + len(words))
+                pos += [*range(len(found)), *([-1] * len(words))]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(pos, pa.int32())], ["h", "doc_id", "tag", "pos"])
 
     return keyed.mapInArrow(work, "h long, doc_id long, tag long, pos int")
 
 
-def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """doc_id, tag, at (positions) of the runs that occurred before."""
-    found = spans(keyed)
+def met_again(found: DataFrame, sift: bool) -> DataFrame:
+    """doc_id, tag, pos of the hashes that occurred before; ``sift`` where few of them did."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag", "pos")
     twice = materialize(found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"), "spans")
-    maybe = BoundedFilter(twice, "h", twice.count()).split(found, "h").where("_maybe").drop("_maybe")
-    again = maybe.join(twice, "h").where(~place.eqNullSafe(F.col("first")))
-    return again.groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("at"))
+    maybe = BoundedFilter(twice, "h", twice.count()).split(found, "h").where("_maybe").drop("_maybe") if sift else found
+    return maybe.join(twice, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tag", "pos")
+
+
+def with_hits(rows: DataFrame, hits: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``columns`` and at, of the rows that surely have no hits and of the others; ``hits`` has id, htag, at."""
+    tested = BoundedFilter(hits, "htag", hits.count()).split(rows, "tag")
+    alone = tested.where("NOT _maybe").select(*columns, F.lit(None).cast(hits.schema["at"].dataType).alias("at"))
+    met = tested.where("_maybe").join(hits, (F.col("tag") == F.col("htag")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select(*columns, "at")
+    return alone, met
+
+
+def stretches(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """h, doc_id, tag, pos (of the first word) of every stretch of RUN words whose chosen window recurs."""
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "marks")
+    maybe = BoundedFilter(twice, "h", twice.count()).split(found, "h").where("_maybe")
+    hits = materialize(maybe.join(twice, "h").groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("htag")).agg(F.collect_set("h").alias("at")), "marked")
+
+    def work(batches):
+        for b in batches:
+            h, ids, tags, pos = [np.empty(0, np.int64)], [], [], [np.empty(0, np.int32)]
+            for doc_id, tag, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = word_hashes(text)
+                here = np.flatnonzero(np.isin(chosen(words), np.array(at, np.int64).view(np.uint64)))
+                h.append(rolling(words, RUN)[here].view(np.int64))
+                pos.append(here.astype(np.int32))
+                ids += [doc_id] * len(here)
+                tags += [tag] * len(here)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(np.concatenate(pos))], ["h", "doc_id", "tag", "pos"])
+
+    met = with_hits(keyed, hits, ["doc_id", "tag", "text"])[1].where("at IS NOT NULL")
+    return materialize(met.mapInArrow(work, "h long, doc_id long, tag long, pos int"), "stretches")
+
+
+def repeated_spans(keyed: DataFrame) -> DataFrame:
+    """doc_id, tag, at: positions of the runs that occurred before, and -1 - position of the stretches of words."""
+    found = materialize(spans(keyed), "runs")
+    runs = met_again(found.where("pos >= 0"), True)
+    words = met_again(stretches(keyed, found.where("pos < 0")), False)
+    return runs.unionByName(words.withColumn("pos", -1 - F.col("pos"))).groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("at"))
+
+
+def cut(text: str, pieces: list[tuple[int, int, int]], at: list[int]) -> tuple[str, int]:
+    """The text without what ``at`` covers, and how many pieces lost something."""
+    out = removed_pieces(pieces, [p for p in at if p >= 0])
+    gone = [pieces[i][:2] for i in out]
+    starts = sorted(-1 - p for p in at if p < 0)
+    if starts:
+        words = [m.span() for m in _WORD.finditer(text)]
+        first = end = starts[0]
+        for p in [*starts, len(words) + RUN]:
+            if p > end:
+                gone.append((words[first - 1][1] if first else words[0][0], words[end - 1][1]))
+                first = p
+            end = p + RUN
+    kept, last = [], 0
+    for s, e in joined(gone):
+        kept.append(text[last:s])
+        if 0 < s and e < len(text) and not text[s - 1].isspace() and not text[e].isspace():  # words of both sides stay apart
+            kept.append(text[s : s + len(text[s:e]) - len(text[s:e].lstrip())] or " ")
+        last = e
+    if starts:
+        begins = [s for s, _, _ in pieces]
+        for a, b in gone:
+            for i in range(bisect_right(begins, a) - 1, bisect_left(begins, b)):
+                if i not in out and not text[max(begins[i], a) : min(pieces[i][1], b)].isspace():
+                    out.add(i)
+    return "".join([*kept, text[last:]]), len(out)
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and adjacent ranges as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -110,9 +238,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     held = packed(docs).withColumn("tag", F.xxhash64("text"))
     hits = materialize(repeated_spans(held.select("doc_id", "tag", "text")).select(F.col("doc_id").alias("id"), F.col("tag").alias("htag"), "at"), "hits")
-    tested = BoundedFilter(hits, "htag", hits.count()).split(held, "tag")
-    alone = tested.where("NOT _maybe").select("row", "text", F.lit(None).cast("array<int>").alias("at"))
-    met = tested.where("_maybe").join(hits, (F.col("tag") == F.col("htag")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select("row", "text", "at")
+    alone, met = with_hits(held, hits, ["row", "text"])
     both = alone.unionByName(met)
     schema = T.StructType([both.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -121,10 +247,10 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
             texts, total, gone = [], [], []
             for text, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 pieces = sentences(text) if text else []
-                out = removed_pieces(pieces, at) if at else set()
-                texts.append("".join(text[s:e] for i, (s, e, _) in enumerate(pieces) if i not in out) if out else text)
+                left, n = cut(text, pieces, at) if at else (text, 0)
+                texts.append(left)
                 total.append(len(pieces))
-                gone.append(len(out))
+                gone.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_sentences", "n_removed"])
 
     added = ("n_sentences", "n_removed")

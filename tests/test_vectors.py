@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as vx
 from vecloom.operators import index, knn
+from vecloom.plans import catalog
 from vecloom.sources.matrices import from_coo, from_matrix, to_coo
 
 
@@ -87,6 +88,15 @@ def test_cells_recall(spark, blobs):
         assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_registered_cells_recall(spark):
+    at = "/root/testdata/sf0.01"
+    exact = {(r["q"], r["n"]) for r in catalog.QUERIES["knn_cosine"](spark, at).where("q <> n").collect()}
+    near = {(r["q"], r["n"]) for r in catalog.QUERIES["knn_cells"](spark, at).collect()}
+    recall = len(exact & near) / len(exact)
+    print(f"recall without self {recall:.3f}")
+    assert recall >= 0.9
+
+
 def test_index_lifecycle(spark, blobs, tmp_path):
     x, df = blobs
     i = index.VectorIndex(df.where("vec_id < 50"), "l2")

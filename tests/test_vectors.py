@@ -64,6 +64,12 @@ def test_knn_edges(spark):
     assert far == {0: 3, 1: 3, 2: 3, 3: 1}
 
 
+def test_knn_sql_over_any_index_size(spark, blobs):
+    x, df = blobs
+    got = knn.knn_sql(df.where("vec_id < 9"), df, 7, "l2", limit=30).orderBy("q", "rank").collect()
+    assert [r["n"] for r in got] == [n for row in brute(x, x[:9], 7, "l2") for n in row]
+
+
 def test_range_is_strict(spark):
     df = from_matrix(spark, np.array([[0.0], [1.0], [3.0]]))
     got = {(r["q"], r["n"]) for r in knn.range_join(df, df, 2.0).collect()}

@@ -180,13 +180,22 @@ SCORE = {"l2": vx.l2, "dot": vx.dot, "cosine": vx.cosine, "exp_neg_dot": vx.exp_
 
 
 def knn_sql(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", key: str = "vec_id", vec: str = "embedding", include_self: bool = True, limit: int = 20_000) -> DataFrame:
-    """The same as ``knn`` as one declarative plan; for an index of at most ``limit`` rows, whose size is checked."""
+    """The same as ``knn`` as one declarative plan for each block of about ``limit`` index rows, whose k best are merged."""
     right = index.select(F.col(key).alias("n"), F.col(vec).alias("_x"))
-    if right.count() > limit:
-        raise ValueError(f"knn_sql is for at most {limit} index rows; use knn")
     left = queries.select(F.col(key).alias("q"), F.col(vec).alias("_y"))
-    pairs = left.join(F.broadcast(right), F.lit(True) if include_self else F.col("q") != F.col("n"))
-    return top_k(pairs.select("q", "n", SCORE[metric]("_y", "_x").alias("score")), k, METRICS[metric])
+    blocks = max(1, -(-right.count() // limit))
+    parts = []
+    for b in range(blocks):
+        block = right if blocks == 1 else right.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b)
+        pairs = left.join(F.broadcast(block), F.lit(True) if include_self else F.col("q") != F.col("n"))
+        best = top_k(pairs.select("q", "n", SCORE[metric]("_y", "_x").alias("score")), k, METRICS[metric])
+        parts.append(best if blocks == 1 else materialize(best, "knn-sql"))
+    if blocks == 1:
+        return parts[0]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return top_k(found, k, METRICS[metric])
 
 
 def sample_centres(index: DataFrame, cells: int, key: str, vec: str, rounds: int = 4, sample: int = 20_000, metric: str = "l2") -> np.ndarray:

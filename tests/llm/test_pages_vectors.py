@@ -154,3 +154,10 @@ def test_pivot_search_recall(spark):
         s[q] = -np.inf
         hits += len(got[q] & set(np.argsort(-s)[:10].tolist()))
     assert hits / 600 >= 0.9
+
+
+def test_templates_go_by_share_at_any_size(spark):
+    page = lambda i: f"<body><div>site line</div><p>page {i} says this</p>{'<ul><li>common</li><li>list</li></ul>' if i < 60 else ''}</body>"
+    rows = [(i, f"http://big.example/{i}", page(i)) for i in range(1000)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"page {i} says this" + (" common list" if i < 60 else "") for i in range(1000)}  # 60 of 1,000 is no template

@@ -2,8 +2,8 @@
 
 A page becomes an element tree. Elements that never hold main text go by their tag, role, class or id.
 Beyond these, the subtrees of block elements are hashed and counted for each host in Spark, over pages
-of different content; those that recur on many pages of a host are its template and are deleted where
-they stand. Prose inside an article (paragraphs, headings and the like) is never taken for template.
+of different content; those that recur on a tenth of a host's pages are its template and are deleted
+where they stand. Prose inside an article (paragraphs, headings and the like) is never taken for template.
 What stays of the outermost articles (else of main, else of the body) is the text.
 
 Template hashes go to the workers by broadcast while they are few (their number is counted first);
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from vecloom.llm._common import small_batches, table
 from vecloom.session import materialize
 
-#: A subtree is template from this share of a host's pages on, or this many pages, but never under LEAST.
-SHARE, MANY, LEAST = 0.1, 50, 3
+#: A subtree is template from this share of a host's pages on, but never under LEAST pages.
+SHARE, LEAST = 0.1, 3
 #: Most template hashes that are broadcast (16 bytes each in a worker's set, about 30 MB).
 BROADCAST_TEMPLATES = 400_000
 
@@ -236,7 +236,7 @@ def host_of(url: str | None) -> str | None:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, hash of the subtrees that recur on many pages of the host."""
+    """host, hash of the subtrees that recur on SHARE of the host's pages."""
 
     def work(batches):
         for b in batches:
@@ -255,7 +255,7 @@ def templates(pages: DataFrame) -> DataFrame:
     found = pages.select("url", "html").mapInArrow(work, "host string, hash long, content long")
     counts = materialize(found.groupBy("host", "hash", "content").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")), "subtrees")
     hosts = counts.where("hash = 0").select("host", F.col("pages").alias("all"))
-    least = F.greatest(F.lit(LEAST), F.least(F.lit(MANY), F.ceil(F.col("all") * SHARE)))
+    least = F.greatest(F.lit(LEAST), F.ceil(F.col("all") * SHARE))
     return counts.where("hash <> 0").join(hosts, "host").where(F.col("pages") >= least).select("host", "hash")
 
 

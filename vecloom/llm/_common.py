@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecloom.session import materialize
+from vecloom.session import materialize, ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -20,7 +20,9 @@ MAX_FILTER_BITS = 1 << 24
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most, so that long texts do not pile up in a worker."""
+    """Session defaults of this subpackage: Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most, so that
+    long texts do not pile up in a worker, and workers that can import the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

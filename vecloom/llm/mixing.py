@@ -3,32 +3,41 @@
 Each source has one constraint: the words taken from it equal its target. Among all document rates
 between 0 and CAP that meet it, the entropy-balanced ones deviate least from a rate of one; they are
 exponentially tilted by the document's size, r = CAP / (1 + (CAP - 1) exp(-x)), x = lambda * size.
-lambda maximises the convex dual of the source. The documents of a source enter the dual only through
-the histogram of their sizes, counted in Spark; the Newton steps of all sources run side by side, one
-group a source, whose rows are its distinct sizes and so are bounded by the longest document.
+lambda maximises the convex dual of the source. Newton steps are distributed: documents enter the dual
+through the histogram of (source, size), whose cells Spark sums for the gradient and the curvature of
+all sources at once, and the multipliers live in a table of one row a source. Sums are decimals, so
+they do not depend on the order of tasks.
 
 Rates become copies along the same histogram, from the largest size down: each size takes the whole
-number of copies nearest to its share plus what larger sizes left over, so a source misses its target
-by less than its smallest documents. Copies go to documents in the order of a hash of doc_id.
+number of copies nearest to its share plus what larger sizes left over; a task streams a source's
+distinct sizes and holds only what is left over. A source misses its target by half of its largest
+document at most, and by less than its smallest ones where those are many. Which documents of a cell
+get one copy more is decided by a hash of doc_id and text against the cell's cut, so that a document's
+copies follow from the cells alone and no text is shuffled.
 
 Cases: null text has size 0; a document of size 0 is kept once and takes nothing. Null is a source of
-its own, after all others. A source of size 0 has target 0. Repeated rows are documents of their own.
-An empty table gives an empty table.
+its own, after all others. A source of size 0 has target 0. Ties: documents of one size differ by their
+hash only. Rows repeated with one doc_id and text are documents of their own that share the cut, so
+they get the same number of copies. Very long texts only lengthen the histogram. Columns of any name
+pass through ``mixed_documents`` untouched. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecloom.llm._common import bucketed_rank, global_rank, packed, small_batches, table, unpacked
+from vecloom.llm._common import global_rank, packed, small_batches, table, unpacked
 from vecloom.session import materialize
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+#: Newton steps at most (a step that leaves its bracket is a bisection), and when a source is done.
+STEPS, NEAR = 60, 1e-9
+#: Most (source, size) cells that reach the workers by broadcast, about 40 MB; beyond, rows meet them by a join.
+BROADCAST_CELLS = 500_000
 
 
 def count_words(text: str | None) -> int:
@@ -37,15 +46,26 @@ def count_words(text: str | None) -> int:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row."""
+    """doc_id, source, size and h, the hash that orders the documents of a size, of every row."""
     small_batches(docs.sparkSession)
 
     def sizes(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([count_words(t) for t in b.column(2).to_pylist()], pa.int64())], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([count_words(t) for t in b.column(3).to_pylist()], pa.int64()), b.column(2)], ["doc_id", "source", "size", "h"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(sizes, "doc_id long, source string, size long")
+    return packed(docs).select("doc_id", "source", _hash(), "text").mapInArrow(sizes, "doc_id long, source string, size long, h long")
+
+
+def _hash() -> Column:
+    return F.xxhash64("doc_id", "text").alias("h")
+
+
+def _on(a: str, b: str, *keys: str) -> Column:
+    """Equality of source (null equals null) and of these keys, for two aliased tables."""
+    same = F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    for k in keys:
+        same = same & (F.col(f"{a}.{k}") == F.col(f"{b}.{k}"))
+    return same
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -65,81 +85,143 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return ranked.select("source", "source_size", "docs", F.least(F.col("source_size") * float(cap), F.col("weight") * level).alias("target"))
 
 
-def solve_rates(size: np.ndarray, docs: np.ndarray, target: float, cap: int = CAP) -> np.ndarray:
-    """Rates of a source's sizes whose expected words meet the target (safeguarded Newton on the dual)."""
-    words = (size * docs).astype(float)
-    total = words.sum()
-    if total <= 0 or target >= cap * total:
-        return np.where(size > 0, float(cap), 1.0)
-    x = size / (words @ size / total)
-    rates = lambda lam: cap / (1 + (cap - 1) * np.exp(np.clip(-lam * x, -700, 700)))
-    low, high, lam = -1.0, 1.0, 0.0
-    while words @ rates(low) > target and low > -1e12:
-        low *= 2
-    while words @ rates(high) < target and high < 1e12:
-        high *= 2
-    for _ in range(200):
-        r = rates(lam)
-        gap = words @ r - target
-        if abs(gap) <= 1e-9 * max(target, 1):
+def rate_of(lam: Column, x: Column, cap: int) -> Column:
+    return cap / (1 + (cap - 1) * F.exp(F.least(F.greatest(-lam * x, F.lit(-700.0)), F.lit(700.0))))
+
+
+def solved_rates(cells: DataFrame, cap: int = CAP) -> DataFrame:
+    """``cells`` (source, size, docs, source_size, target) with rate: expected words meet the target of each source.
+
+    Newton on the dual of all sources at once. The multiplier is that of size over the words' mean size; a
+    source's row holds it with the bracket known so far. Each step is one pass of sums over the cells.
+    """
+    words = F.col("size") * F.col("docs").cast("double")
+    square = F.sum(F.col("docs").cast("decimal(20,0)") * (F.col("size") * F.col("size")).cast("decimal(18,0)"))
+    free = (F.col("source_size") > 0) & (F.col("target") < cap * F.col("source_size"))
+    state = cells.where(free).groupBy("source", "source_size", "target").agg((square / F.col("source_size")).cast("double").alias("mean"))
+    state = state.selectExpr("source", "target", "mean", "0D AS lam", "CAST(NULL AS DOUBLE) AS low", "CAST(NULL AS DOUBLE) AS high", "false AS done")
+    state = materialize(state, "multipliers")
+    for _ in range(STEPS):
+        if state.where("NOT done").isEmpty():
             break
-        low, high = (lam, high) if gap < 0 else (low, lam)
-        slope = words @ (r * (1 - r / cap) * x)
-        step = lam - gap / slope if slope > 0 else np.inf
-        lam = step if low < step < high else (low + high) / 2
-    return rates(lam)
-
-
-def round_copies(size: np.ndarray, docs: np.ndarray, rates: np.ndarray, cap: int = CAP) -> np.ndarray:
-    """Whole copies of each size, sizes in descending order; what a size leaves over passes to the next."""
-    copies, rest = np.empty(len(size), np.int64), 0.0
-    for i, (s, n, r) in enumerate(zip(size.tolist(), docs.tolist(), rates.tolist(), strict=True)):
-        if s == 0:
-            copies[i] = n
-            continue
-        want = n * r * s + rest
-        copies[i] = min(max(round(want / s), 0), cap * n)
-        rest = want - int(copies[i]) * s
-    return copies
+        at = cells.alias("c").join(state.where("NOT done").alias("s"), _on("c", "s")).select("s.*", "c.size", "c.docs")
+        x = F.col("size") / F.col("mean")
+        rate = rate_of(F.col("lam"), x, cap)
+        exact = lambda v: F.sum(v.cast("decimal(38,6)")).cast("double")
+        sums = at.groupBy("source", "target", "mean", "lam", "low", "high").agg((exact(words * rate) - F.col("target")).alias("gap"), exact(words * rate * (1 - rate / cap) * x).alias("slope"))
+        low, high = F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("low")), F.when(F.col("gap") >= 0, F.col("lam")).otherwise(F.col("high"))
+        sums = sums.withColumn("done", F.abs("gap") <= F.greatest(NEAR * F.col("target"), F.lit(1e-5))).withColumn("low2", low).withColumn("high2", high)
+        far = F.lit(4.0) + F.abs("lam")  # how far a step goes where the bracket is open
+        newton = F.when(F.col("slope") > 0, F.col("lam") - F.col("gap") / F.col("slope"))
+        newton = F.least(F.greatest(F.coalesce(newton, -F.signum("gap") * far + F.col("lam")), F.col("lam") - far), F.col("lam") + far)
+        inside = (F.col("low2").isNull() | (newton > F.col("low2"))) & (F.col("high2").isNull() | (newton < F.col("high2")))
+        step = F.when(F.col("done"), F.col("lam")).when(inside, newton).otherwise((F.col("low2") + F.col("high2")) / 2)
+        moved = sums.select("source", "target", "mean", step.alias("lam"), F.col("low2").alias("low"), F.col("high2").alias("high"), "done")
+        state = materialize(moved.unionByName(state.where("done")), "multipliers")
+    met = cells.alias("c").join(state.select("source", "mean", "lam").alias("s"), _on("c", "s"), "left")
+    rate = F.coalesce(rate_of(F.col("s.lam"), F.col("c.size") / F.col("s.mean"), cap), F.lit(float(cap)))
+    return met.select("c.*", F.when(F.col("c.size") > 0, rate).otherwise(1.0).alias("rate"))
+
+
+def rounded_copies(rated: DataFrame, cap: int = CAP) -> DataFrame:
+    """``rated`` with copies, the whole number each (source, size) takes: what a size leaves over passes to the next smaller."""
+    ordered = rated.repartition("source").sortWithinPartitions("source", F.col("size").desc())
+    names = ["source", "size", "docs", "rate"]
+
+    def work(batches):
+        last, rest = (), 0.0
+        for b in batches:
+            copies = []
+            for source, size, docs, rate in zip(*(b.column(names.index(c)).to_pylist() for c in names), strict=True):
+                if (source,) != last:
+                    last, rest = (source,), 0.0
+                if size == 0:
+                    copies.append(docs)
+                    continue
+                want = docs * rate * size + rest
+                n = min(max(round(want / size), 0), cap * docs)
+                copies.append(n)
+                rest = want - n * size
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(copies, pa.int64())], ["source", "size", "docs", "copies"])
+
+    return ordered.select(*names).mapInArrow(work, "source string, size long, docs long, copies long")
+
+
+def cut_hashes(sizes: DataFrame, open_cells: DataFrame, rows: int) -> DataFrame:
+    """source, size, cut: the hash of the document of rank ``extra`` in each of ``open_cells`` (source, size, extra).
+
+    Hashes are dealt to ranges; the counts of a cell's ranges tell which one holds the rank, and only that
+    one is sorted, so no task holds a large cell.
+    """
+    ranges = max(256, rows // 100_000)
+    part = F.least(F.floor((F.col("h") / F.lit(float(1 << 64)) + 0.5) * ranges), F.lit(ranges - 1)).cast("int").alias("part")
+    dealt = sizes.select("source", "size", "h", part)
+    counts = dealt.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("source", "size").orderBy("part")))
+    hit = counts.alias("a").join(open_cells.alias("b"), _on("a", "b", "size")).where("b.extra > a.upto - a.n AND b.extra <= a.upto")
+    hit = materialize(hit.selectExpr("a.source", "a.size", "a.part", "b.extra - (a.upto - a.n) AS k"), "cuts")
+    inside = dealt.alias("a").join(hit.alias("b"), _on("a", "b", "size", "part")).select("a.*", "b.k")
+    nth = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h"))
+    return inside.withColumn("nth", nth).where("nth = k").select("source", "size", F.col("h").alias("cut"))
+
+
+def decide(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """source, size, source_size, target, base, cut: documents with h <= cut take base + 1 copies, the others base."""
+    targets = materialize(source_targets(sizes, weights, cap), "targets")
+    counted = sizes.groupBy("source", "size").agg(F.count("*").alias("docs"))
+    cells = materialize(counted.alias("c").join(targets.alias("t"), _on("c", "t")).select("c.*", "t.source_size", "t.target"), "cells")
+    whole = rounded_copies(solved_rates(cells, cap), cap)
+    base = F.floor(F.col("copies") / F.col("docs"))
+    whole = materialize(whole.select("source", "size", base.alias("base"), (F.col("copies") - base * F.col("docs")).alias("extra")), "copies")
+    rows = targets.agg(F.sum("docs")).first()[0] or 0
+    cuts = materialize(cut_hashes(sizes, whole.where("extra > 0"), rows), "cut-hashes")
+    met = whole.alias("w").join(cuts.alias("k"), _on("w", "k", "size"), "left").select("w.source", "w.size", "w.base", "k.cut")
+    return materialize(met.alias("w").join(targets.alias("t"), _on("w", "t")).select("w.source", "w.size", "t.source_size", "t.target", "w.base", "w.cut"), "decided")
+
+
+def copies_of(h: Column, base: Column, cut: Column) -> Column:
+    return base + F.when(h <= cut, 1).otherwise(0)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for every row of ``docs``."""
     sizes = materialize(word_counts(docs), "sizes")
-    targets = materialize(source_targets(sizes, weights, cap), "targets")
-    keyed = sizes.withColumn("_null", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit("")))
-    tkeyed = targets.withColumn("_null", F.col("source").isNull()).withColumn("_source", F.coalesce("source", F.lit(""))).drop("source", "docs")
-    cells = keyed.groupBy("_null", "_source", "size").agg(F.count("*").alias("docs")).join(tkeyed, ["_null", "_source"])
+    cells = decide(sizes, weights, cap)
+    met = sizes.alias("a").join(cells.alias("b"), _on("a", "b", "size"))
+    return met.select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", copies_of(F.col("a.h"), F.col("b.base"), F.col("b.cut")).alias("copies"))
 
-    def per_source(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size", ascending=False)
-        size, docs_, target = pdf["size"].to_numpy(), pdf["docs"].to_numpy(), float(pdf["target"].iloc[0])
-        return pdf.assign(copies=round_copies(size, docs_, solve_rates(size, docs_, target, cap), cap))
 
-    solved = materialize(cells.groupBy("_null", "_source").applyInPandas(per_source, "_null boolean, _source string, size long, docs long, source_size long, target double, copies long"), "cells")
-    rows = targets.agg(F.sum("docs")).first()[0] or 0
-    ranked = bucketed_rank(keyed, ["_null", "_source", "size"], ["doc_id"], "_rank", rows)
-    base = F.floor(F.col("copies") / F.col("docs"))
-    taken = ranked.join(solved, ["_null", "_source", "size"]).withColumn("copies", (base + F.when(F.col("_rank") < F.col("copies") - base * F.col("docs"), 1).otherwise(0)).cast("long"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies")
-
-
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, limit: int = BROADCAST_CELLS) -> DataFrame:
     """The documents as often as the mix takes them, in the columns of ``docs``.
 
-    Rows repeated under one doc_id get their copies in turn, so none is lost or doubled.
+    A second pass over the documents looks each one's cell up; up to ``limit`` cells no row is shuffled.
     """
-    decided = materialize(mix(docs).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("src")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "copies")
-    held = packed(docs).select("row", "doc_id", "source", "text")
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("src"))
-    met = held.join(decided.where("rows = 1"), same).select("row", "copies")
-    again = decided.where("rows > 1")
-    if not again.isEmpty():
-        rest = held.join(again, same).select("row", "doc_id", "source", F.xxhash64("text").alias("tag"), "copies", "rows")
-        nth = bucketed_rank(rest, ["doc_id", "source"], ["tag"], "nth", 0)
-        each = F.floor(F.col("copies") / F.col("rows"))
-        met = met.unionByName(nth.select("row", (each + F.when(F.col("nth") < F.col("copies") - each * F.col("rows"), 1).otherwise(0)).cast("long").alias("copies")))
-    return unpacked(met.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")))
+    cells = decide(materialize(word_counts(docs), "sizes"), weights, cap)
+    held = packed(docs).select("row", "source", _hash())
+    words_in = lambda b: [count_words(t) for t in b.column(0).field("text").to_pylist()]
+    if cells.count() > limit:
+        schema = T.StructType([*held.schema.fields, T.StructField("size", T.LongType())])
+
+        def sized(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words_in(b), pa.int64())], ["row", "source", "h", "size"])
+
+        met = held.mapInArrow(sized, schema).alias("a").join(cells.alias("b"), _on("a", "b", "size"))
+        met = met.select("a.row", copies_of(F.col("a.h"), F.col("b.base"), F.col("b.cut")).alias("copies")).where("copies > 0")
+        return unpacked(met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")))
+    known = {(r["source"], r["size"]): (r["base"], r["cut"]) for r in cells.select("source", "size", "base", "cut").toLocalIterator()}
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def taken(batches):
+        known = shared.value
+        for b in batches:
+            at = []
+            for i, (source, h, size) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), words_in(b), strict=True)):
+                base, cut = known[source, size]
+                at += [i] * (base + (cut is not None and h <= cut))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64()))], ["row"])
+
+    return unpacked(held.mapInArrow(taken, T.StructType(held.schema.fields[:1])))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

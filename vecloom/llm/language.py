@@ -2,7 +2,7 @@
 
 Training counts hashed byte n-grams (lengths 3 and 4 of the lower-cased text) of labelled documents for
 each language, on at most ``TRAIN_DOCS`` documents of a language, those with the smallest hashes of
-doc_id. A document is then a mixture: expectation-maximisation finds the proportions of the languages
+(doc_id, text). A document is then a mixture: expectation-maximisation finds the proportions of the languages
 that make its n-grams likeliest. The language set is chosen by penalised likelihood: starting with the
 best single language, a language joins while it raises the log-likelihood by more than the penalty,
 log(n) / 2 for its one more proportion times ``PENALTY`` for n-grams that overlap. The prediction is the
@@ -10,7 +10,8 @@ language with the largest proportion in the chosen set, and that proportion is t
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text where nothing
 could be learned. Null labels teach nothing. Repeated rows are predicted alike; ties go to the language
-first in code-point order. An empty table gives an empty table.
+first in code-point order. A very long text is one histogram of BUCKETS counts at most. Columns of any name
+pass through ``keep_rows`` untouched; the others are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm._common import packed, small_batches, table, unpacked
-from vecloom.session import materialize
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 2000
 PENALTY = 4.0
 ROUNDS = 12
 UNKNOWN = "und"
+#: Documents are chosen for training by a hash of this many values.
+HASHES = 1 << 63
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -49,17 +51,21 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(h, return_counts=True)
 
 
+def hash_share(train_docs: int, n: int) -> int:
+    """The hash up to which about twice ``train_docs`` of ``n`` documents lie: never none, however many there are."""
+    return HASHES - 1 if n <= 2 * train_docs else max(1, 2 * train_docs * HASHES // n)
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """(languages, n-gram probabilities by language); BUCKETS numbers for each language reach the driver."""
     small_batches(docs.sparkSession)
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = labelled.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("h"))
-    sizes = ids.groupBy("lang", "h").agg(F.count("*").alias("n"))
-    sizes = materialize(sizes, "lang-sizes")
-    totals = {r["lang"]: r["n"] for r in sizes.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    # The share of hash values that leaves about train_docs documents of each language.
-    share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(int((1 << 20) * min(1.0, train_docs / n))))]) if totals else F.create_map(F.lit(""), F.lit(0))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
+    labelled = labelled.withColumn("h", F.xxhash64("doc_id", "text").bitwiseAND(F.lit(HASHES - 1)))
+    totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # A share of the hashes that holds twice as many documents of each language as wanted; the smallest of them are taken.
+    share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(hash_share(train_docs, n)))]) if totals else F.create_map(F.lit(""), F.lit(0))
+    near = labelled.where(F.col("h") <= F.element_at(share, F.col("lang")))
+    chosen = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("nth") <= train_docs)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

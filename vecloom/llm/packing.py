@@ -1,16 +1,17 @@
 """Packing by shortest-pack-first over the length histogram.
 
-A document's tokens are cut into full sequences and, from what remains, a head whose length is a
-multiple of CUT and a tail under CUT. The histogram of piece lengths (at most 2048 rows) goes to the
+Only documents over SEQUENCE tokens are cut, into full sequences and what remains. The histogram of piece lengths (at most 2048 rows) goes to the
 driver, where lengths are placed longest first, each into the packs with the fewest tokens that still
 have room; packs of the same content are one pattern with a count, so the work does not grow with
 the number of documents. Pieces then get a rank within their length and meet the pattern slots by
-rank: slots are ranges of ranks, at most a few hundred thousand whatever the corpus size.
+rank: slots are ranges of ranks, some thousands whatever the corpus size.
 
-Padding fills a sequence up to SEQUENCE tokens unless its length is a power of two.
+Padding fills a sequence up to SEQUENCE tokens unless its length is a power of two; ``padding`` reports it.
 
 Cases: a null text has only the end token. Repeated rows are documents of their own; a null doc_id is
-carried through. An empty table gives an empty table.
+carried through. Ties: pieces of one length are ranked by doc_id, start and checksum; identical rows may
+swap places. A very long text is encoded whole. Other columns are ignored, whatever their names. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from vecloom.llm._common import bucketed_rank, small_batches, table
 from vecloom.session import materialize
 
 SEQUENCE = 2048
-CUT = 256
 END = 1
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -67,11 +67,10 @@ def byte_bpe(rank_file: str | None = None, pattern: str | None = None) -> ByteBp
     return _coders[rank_file, pattern]
 
 
-def cut_lengths(tokens: int, sequence: int = SEQUENCE, cut: int = CUT) -> list[int]:
-    """Full sequences, then a head that is a multiple of ``cut``, then the tail."""
+def cut_lengths(tokens: int, sequence: int = SEQUENCE) -> list[int]:
+    """Full sequences, then the rest."""
     full, rest = divmod(tokens, sequence)
-    head, tail = rest // cut * cut, rest % cut
-    return [sequence] * full + [x for x in (head, tail) if x]
+    return [sequence] * full + [rest] * (rest > 0)
 
 
 def token_pieces(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -121,6 +120,12 @@ def pack_histogram(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[
     return [(count, list(pattern)) for fill in sorted(open_packs, reverse=True) for count, pattern in open_packs[fill]]
 
 
+def padding(patterns: list[tuple[int, list[tuple[int, int]]]], sequence: int = SEQUENCE) -> int:
+    """Padding tokens of these patterns."""
+    fills = [(count, sum(length * times for length, times in pattern)) for count, pattern in patterns]
+    return sum(count * (sequence - fill) for count, fill in fills if fill & (fill - 1))
+
+
 def pattern_slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> pd.DataFrame:
     """A row for each (pattern, length): which ranks of the length it takes, and where they go."""
     taken: dict[int, int] = defaultdict(int)

@@ -1,24 +1,35 @@
 """Exact dedup by a log-structured merge index of digests, in DataFrame operations only.
 
-Flush: the rows of a task are its memtable; it leaves the task as a run of (doc_id, digest) sorted
-by digest, in a file with a Parquet Bloom filter on the digest. Compaction merges the runs and keeps
-one identifier and the row count of each digest. Hits, which are the rows of digests with more than
-one row, are read again and compared byte for byte; if texts that differ ever share a digest, their
-rows are grouped by the texts themselves.
+Flush: the rows of a task are its memtable; it leaves the task sorted by digest, and the memtables of a
+flush become a run of level 0: one identifier and the number of rows of each digest, sorted by digest in
+every file, with a filter of its digests (a Parquet Bloom filter in each file, and one that Spark can
+join). A level that holds FANOUT runs is compacted into one run of the next level, so a digest is
+rewritten once a level however many flushes there are; compaction keeps one identifier. ``probe`` asks
+all runs, each only for what its filter lets through. Rows whose digest the filter of groups does not
+know decide themselves without a shuffle. Hits, which are the rows of digests with more than one row, are
+read again and compared byte for byte; if texts that differ ever share a digest, their rows are grouped
+by the texts themselves.
 
 Cases: a null text is the empty text. A null doc_id is never chosen while the group has another.
-Rows repeated under one doc_id share its fate in the index (``keep_rows`` leaves one of them).
-An empty table gives an empty table. Other columns are ignored.
+Rows repeated under one doc_id share its fate in the index (``keep_rows`` leaves one of them). Ties cannot
+be: identifiers are ordered, and equal ones are the same row to the index. A very long text is hashed in
+place and travels only as a hit. Other columns are ignored, or carried whole by ``keep_rows``, whatever
+their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.llm._common import BoundedFilter, lower_ascii, packed, table, unpacked
 from vecloom.session import fresh_path, materialize
 
+#: Runs of a level that are merged into one of the next.
+FANOUT = 4
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
 
 
@@ -30,65 +41,106 @@ def digest_of(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
+class Run(NamedTuple):
+    """A sorted table of (digest, keep_id, group_size) in the shared folder, and a filter of its digests."""
+
+    path: str
+    rows: int
+    filter: BoundedFilter
+
+
 class MergeIndex:
-    """Runs of digests in the shared folder; ``flush`` adds documents, ``compact`` merges all runs."""
+    """Levels of sorted runs. ``flush`` adds a run at level 0; a level of FANOUT runs is merged into one run of the next."""
 
-    def __init__(self, spark: SparkSession, keep: str = "smallest"):
+    def __init__(self, spark: SparkSession, keep: str = "smallest", fanout: int = FANOUT):
         if keep not in ("smallest", "largest"):
             raise ValueError("keep is 'smallest' or 'largest'")
-        self.spark, self.choose = spark, F.min if keep == "smallest" else F.max
-        self.runs: list[str] = []
-        self.merged: str | None = None
+        self.spark, self.choose, self.fanout = spark, F.min if keep == "smallest" else F.max, fanout
+        self.levels: list[list[Run]] = [[]]
+        self.flushed: list[str] = []
 
     def flush(self, docs: DataFrame) -> None:
-        """Write one sorted run for each task that reads ``docs``."""
-        path = fresh_path(self.spark, "runs")
+        """Digest ``docs``: each task's rows are written sorted, and merged by digest into a run of level 0."""
+        path = fresh_path(self.spark, "memtables")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(normalised(F.col("text"))).alias("digest"))
-        rows.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(path)
-        self.runs.append(path)
+        rows.sortWithinPartitions("digest").write.parquet(path)
+        self.flushed.append(path)
+        self._write(self.spark.read.schema("doc_id long, digest string").parquet(path).select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")), 0)
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            self._merge(level)
+            level += 1
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        path = fresh_path(self.spark, f"run-{level}")
+        merged = rows.groupBy("digest").agg(self.choose("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        merged.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(path)
+        run = self._read(path)
+        count = run.count()
+        self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+        self.levels[level].append(Run(path, count, BoundedFilter(run, "digest", count)))
 
-    def entries(self) -> DataFrame:
-        """Every row flushed so far: doc_id, digest."""
-        return self.spark.read.schema("doc_id long, digest string").parquet(*self.runs)
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(*paths)
+
+    def _merge(self, level: int) -> None:
+        runs, self.levels[level] = self.levels[level], []
+        self._write(self._read(*(r.path for r in runs)), level + 1)
+
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
 
     def compact(self) -> DataFrame:
-        """Merge the runs: digest, keep_id, group_size, sorted by digest in each file."""
-        path = fresh_path(self.spark, "compacted")
-        merged = self.entries().groupBy("digest").agg(self.choose("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        merged.sortWithinPartitions("digest").write.options(**RUN_OPTIONS).parquet(path)
-        self.merged = path
+        """Merge what there is into one run of the highest level."""
+        if len(self.runs()) > 1:
+            runs = self.runs()
+            self.levels = [[] for _ in self.levels]
+            self._write(self._read(*(r.path for r in runs)), len(self.levels) - 1)
         return self.index()
 
     def index(self) -> DataFrame:
-        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(self.merged)
+        """The runs as they are; a digest has one row once they are compacted."""
+        return self._read(*(r.path for r in self.runs()))
+
+    def entries(self) -> DataFrame:
+        """Every row flushed so far: doc_id, digest."""
+        return self.spark.read.schema("doc_id long, digest string").parquet(*self.flushed)
 
-    def lookup(self, digests: list[str]) -> DataFrame:
-        """Index rows of these digests; the files' filters spare those without any."""
-        return self.index().where(F.col("digest").isin(digests))
+    def probe(self, digests: DataFrame) -> DataFrame:
+        """digest, keep_id, group_size of those of ``digests`` (digest) that some run has; a run's filter decides what meets it."""
+        wanted = digests.select("digest").distinct()
+        met = [r.filter.split(wanted, "digest").where("_maybe").select("digest").join(self._read(r.path), "digest") for r in self.runs()]
+        if not met:
+            return self.spark.createDataFrame([], "digest string, keep_id long, group_size long")
+        return reduce(DataFrame.unionByName, met).groupBy("digest").agg(self.choose("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
     def decide(self, docs: DataFrame) -> DataFrame:
-        """doc_id, digest, keep_id, group_size for every flushed row, hits verified against ``docs``."""
-        rows = self.entries()
-        merged = self.index()
-        hits = materialize(rows.join(merged.where("group_size > 1"), "digest", "left_semi").select("doc_id").distinct(), "hits")
-        ids = BoundedFilter(hits, "doc_id", hits.count())
-        maybe = ids.split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "doc_id").where("_maybe OR doc_id IS NULL")
+        """doc_id, digest, keep_id, group_size for every flushed row, hits verified against ``docs``.
+
+        Rows whose digest is surely in no group keep themselves; only the others meet the index.
+        """
+        groups = materialize(self.compact().where("group_size > 1"), "groups")
+        tested = BoundedFilter(groups, "digest", groups.count()).split(self.entries(), "digest")
+        alone = tested.where("NOT _maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+        found = materialize(tested.where("_maybe").select("doc_id", "digest").join(groups, "digest", "left"), "hits")
+        alone = alone.unionByName(found.where("keep_id IS NULL AND group_size IS NULL").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
+        hits = found.where("group_size IS NOT NULL")
+        ids = hits.select("doc_id").distinct()
+        maybe = BoundedFilter(ids, "doc_id", ids.count()).split(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), "doc_id").where("_maybe OR doc_id IS NULL")
         norm = maybe.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", digest_of(F.col("norm")))
-        groups = norm.groupBy("digest", "norm").agg(self.choose("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        clashes = materialize(groups.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "clashes")
-        decided = rows.join(merged, "digest")
+        texts = norm.groupBy("digest", "norm").agg(self.choose("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        clashes = materialize(texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "clashes")
         if clashes.isEmpty():
-            return decided.select("doc_id", "digest", "keep_id", "group_size")
-        apart = norm.join(clashes, "digest", "left_semi").join(groups.drop("digest"), "norm")
-        plain = decided.join(clashes, "digest", "left_anti")
-        return plain.select("doc_id", "digest", "keep_id", "group_size").unionByName(apart.select("doc_id", "digest", "keep_id", "group_size"))
+            return alone.unionByName(hits)
+        apart = norm.join(clashes, "digest", "left_semi").join(texts.drop("digest"), "norm")
+        plain = hits.join(clashes, "digest", "left_anti")
+        return alone.unionByName(plain).unionByName(apart.select("doc_id", "digest", "keep_id", "group_size"))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
     index = MergeIndex(docs.sparkSession, keep)
     index.flush(docs)
-    index.compact()
     found = index.decide(docs)
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
@@ -101,7 +153,6 @@ def keep_rows(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """
     index = MergeIndex(docs.sparkSession, keep)
     index.flush(docs)
-    index.compact()
     decided = index.decide(docs).where("group_size > 1")
     grouped = materialize(decided.select(F.col("doc_id").alias("id"), F.col("digest").alias("dup"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")), "decisions")
     ids = grouped.select("id").distinct()

@@ -113,8 +113,8 @@ def test_empty_archive(captured):
     assert warc.captures(warc.Archive.write(captured[1].limit(0))).count() == 0
 
 
-def brute(rows, step, k):
-    fine = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v) and len(v) == 8]
+def brute(rows, step, k, d=8):
+    fine = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v) and len(v) == d]
     out = {}
     for q, qv in fine:
         if q is not None and q % step == 0:
@@ -129,7 +129,7 @@ def test_pivot_search_small_is_exact(spark):
     rows += [(100, None), (101, [0.0] * 8), (102, [float("nan")] * 8), (103, [1.0, None] * 4), (104, [1.0]), (105, rows[4][1]), (106, rows[4][1])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     got = {}
-    for r in pivot_search.nearest(df, 20, 5).orderBy("query_id", "rank").collect():
+    for r in pivot_search.nearest(df, 20, 5, share=1.0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     want = brute(rows, 20, 5)
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
@@ -139,21 +139,57 @@ def test_pivot_search_small_is_exact(spark):
     assert few.count() == 3
 
 
-def test_pivot_search_recall(spark):
+def test_inverted_files_hold_every_place():
+    rng = np.random.default_rng(2)
+    perm = np.stack([rng.permutation(12)[:5] for _ in range(40)]).astype(np.int16)
+    begins, posted = pivot_search.inverted(perm, 12)
+    for pivot in range(12):
+        for place in range(5):
+            c = pivot * 5 + place
+            assert sorted(posted[begins[c] : begins[c + 1]]) == np.flatnonzero(perm[:, place] == pivot).tolist()
+
+
+def test_pivot_search_ranks_by_footrule():
+    """The candidates of a block against footrule distances written out."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = x[:20]
+    perm = pivot_search.permutations(x, pivots, 10)
+    begins, posted = pivot_search.inverted(perm, 20)
+    part = {"n": 300, "ids": np.arange(300).tobytes(), "vecs": x.tobytes(), "begins": begins.tobytes(), "posted": posted.tobytes()}
+    k, share = 3, 0.1
+    ids, scores = pivot_search.block_search(x[:5], np.arange(5), perm[:5], part, k, share)
+    wanted = 30 + pivot_search.EXTRA * k + 1
+    for q in range(5):
+        far = np.array([sum(min(abs(list(p).index(v) - i), pivot_search.WINDOW + 1) if v in p else pivot_search.WINDOW + 1 for i, v in enumerate(perm[q])) for p in perm])
+        edge = np.sort(far)[wanted - 1]
+        sure, maybe = set(np.flatnonzero(far < edge)) - {q}, set(np.flatnonzero(far <= edge)) - {q}
+        got = ids[q].tolist()
+        assert set(got) <= maybe and scores[q].tolist() == sorted(scores[q], reverse=True)
+        assert all((x[i] * x[q]).sum() <= scores[q][-1] + 1e-12 for i in sure - set(got))
+
+
+@pytest.mark.parametrize("size", ["sf0.1", "sf0.01"])
+def test_pivot_search_recall_at_shipped_parameters(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select("vec_id", "embedding")
+    got = {}
+    for r in pivot_search.nearest(df, 20).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
+    want = brute(rows, 20, 20, 64)
+    assert len(want) > 20
+    hits = sum(len(got[q].keys() & {i for i, _ in v}) for q, v in want.items())
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert all(got[q][i] == pytest.approx(s, abs=1e-12) for q, v in want.items() for i, s in v if i in got[q])
+
+
+def test_pivot_search_does_not_depend_on_partitions(spark):
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x = rng.normal(size=(1200, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found = pivot_search.nearest(df, 50, 10, share=0.15, block=1500)
-    got = {}
-    for r in found.collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    x = x.astype(float)
-    hits = 0
-    for q in range(0, 3000, 50):
-        s = x @ x[q]
-        s[q] = -np.inf
-        hits += len(got[q] & set(np.argsort(-s)[:10].tolist()))
-    assert hits / 600 >= 0.9
+    found = [sorted(map(tuple, pivot_search.nearest(df.repartition(n), 100, 10, block=400).collect())) for n in (1, 16, 211)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 120
 
 
 def test_templates_go_by_share_at_any_size(spark):

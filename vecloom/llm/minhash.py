@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from vecloom.llm import sketch as sk
 from vecloom.llm._common import BoundedFilter, packed, small_batches, table, unpacked
 from vecloom.operators.components import connected_components
-from vecloom.session import materialize
+from vecloom.session import Scratch, materialize
 
 #: Leading sketch bytes that star edges carry for the first comparison.
 SHORT = 128
@@ -252,41 +252,51 @@ def groups_of(batches, keys: list[str]):
 
 def merged(component: DataFrame, links: DataFrame) -> DataFrame:
     """node, component after these links."""
-    return materialize(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "a", "b"), "components")
+    return connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), "a", "b")
 
 
 def linked_classes(classes: Classes, docs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """node, component of all classes that are linked with another."""
-    members = bucket_members(classes)
-    links = confirm(star_edges(members.withColumn("comp", F.col("node")), classes, percent, 0), docs, rows, percent)
-    component = materialize(connected_components(links, "a", "b"), "components")
-    for turn in range(1, ROUNDS + 1):
-        edges = star_edges(mixed_members(members, component), classes, percent, turn)
-        if not edges.isEmpty():
-            component = merged(component, confirm(edges, docs, rows, percent))
-    tried, most = None, FIRST
-    while True:
-        found = proposals(mixed_members(members, component), classes, percent, most)
-        new = found.select("a", "b") if tried is None else materialize(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
-        links = None if new.isEmpty() else confirm(new, docs, rows, percent)
-        if links is not None and not links.isEmpty():
-            component = merged(component, links)
-        elif found.where("more").isEmpty():
-            return component
-        tried = new if tried is None else tried.unionByName(new)
-        most *= GROWTH
+    """node, component of all classes that are linked with another. What a step writes is deleted after it."""
+    spark = docs.sparkSession
+    with Scratch(spark) as all_steps:
+        with Scratch(spark) as step:
+            members = step.keep(bucket_members(classes))
+        with Scratch(spark) as step:
+            links = confirm(star_edges(members.withColumn("comp", F.col("node")), classes, percent, 0), docs, rows, percent)
+            component = step.keep(connected_components(links, "a", "b"))
+        for turn in range(1, ROUNDS + 1):
+            with Scratch(spark) as step:
+                edges = star_edges(mixed_members(members, component), classes, percent, turn)
+                if not edges.isEmpty():
+                    component = step.keep(merged(component, confirm(edges, docs, rows, percent)))
+        tried, most, open_ = None, FIRST, True
+        while open_:
+            with Scratch(spark) as step:
+                found = proposals(mixed_members(members, component), classes, percent, most)
+                new = found.select("a", "b")
+                new = step.keep(materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "new"))
+                links = None if new.isEmpty() else confirm(new, docs, rows, percent)
+                if links is not None and not links.isEmpty():
+                    component = step.keep(merged(component, links))
+                else:
+                    open_ = not found.where("more").isEmpty()
+            tried = new if tried is None else tried.unionByName(new)
+            most *= GROWTH
+        return all_steps.keep(component)
 
 
 def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, cls, component_id, members for every row of ``docs``."""
-    rows = sketches(docs)
-    classes = Classes(rows)
-    component = linked_classes(classes, docs, rows, percent)
-    rooted = classes.reps.join(component, "node", "left").select("cls", F.coalesce("component", "node").alias("root"))
-    named = rows.select("doc_id", "n_shingles", "cls").join(rooted, "cls", "left")
-    names = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("named"), F.count("*").alias("members"))
-    out = named.join(names, "root", "left")
-    return out.select("doc_id", "n_shingles", "cls", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("named")).alias("component_id"), F.coalesce("members", F.lit(1)).alias("members"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = sketches(docs)
+        classes = Classes(rows)
+        component = linked_classes(classes, docs, rows, percent)
+        rooted = classes.reps.join(component, "node", "left").select("cls", F.coalesce("component", "node").alias("root"))
+        named = rows.select("doc_id", "n_shingles", "cls").join(rooted, "cls", "left")
+        names = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("named"), F.count("*").alias("members"))
+        out = named.join(names, "root", "left")
+        component_id = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("named")).alias("component_id")
+        return scratch.keep(materialize(out.select("doc_id", "n_shingles", "cls", component_id, F.coalesce("members", F.lit(1)).alias("members")), "near"))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm._common import global_rank, packed, small_batches, table, unpacked
-from vecloom.session import materialize
+from vecloom.session import Scratch, materialize
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -167,16 +167,17 @@ def cut_hashes(sizes: DataFrame, open_cells: DataFrame, rows: int) -> DataFrame:
 
 def decide(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """source, size, source_size, target, base, cut: documents with h <= cut take base + 1 copies, the others base."""
-    targets = materialize(source_targets(sizes, weights, cap), "targets")
-    counted = sizes.groupBy("source", "size").agg(F.count("*").alias("docs"))
-    cells = materialize(counted.alias("c").join(targets.alias("t"), _on("c", "t")).select("c.*", "t.source_size", "t.target"), "cells")
-    whole = rounded_copies(solved_rates(cells, cap), cap)
-    base = F.floor(F.col("copies") / F.col("docs"))
-    whole = materialize(whole.select("source", "size", base.alias("base"), (F.col("copies") - base * F.col("docs")).alias("extra")), "copies")
-    rows = targets.agg(F.sum("docs")).first()[0] or 0
-    cuts = materialize(cut_hashes(sizes, whole.where("extra > 0"), rows), "cut-hashes")
-    met = whole.alias("w").join(cuts.alias("k"), _on("w", "k", "size"), "left").select("w.source", "w.size", "w.base", "k.cut")
-    return materialize(met.alias("w").join(targets.alias("t"), _on("w", "t")).select("w.source", "w.size", "t.source_size", "t.target", "w.base", "w.cut"), "decided")
+    with Scratch(sizes.sparkSession) as scratch:
+        targets = materialize(source_targets(sizes, weights, cap), "targets")
+        counted = sizes.groupBy("source", "size").agg(F.count("*").alias("docs"))
+        cells = materialize(counted.alias("c").join(targets.alias("t"), _on("c", "t")).select("c.*", "t.source_size", "t.target"), "cells")
+        whole = rounded_copies(solved_rates(cells, cap), cap)
+        base = F.floor(F.col("copies") / F.col("docs"))
+        whole = materialize(whole.select("source", "size", base.alias("base"), (F.col("copies") - base * F.col("docs")).alias("extra")), "copies")
+        rows = targets.agg(F.sum("docs")).first()[0] or 0
+        cuts = materialize(cut_hashes(sizes, whole.where("extra > 0"), rows), "cut-hashes")
+        met = whole.alias("w").join(cuts.alias("k"), _on("w", "k", "size"), "left").select("w.source", "w.size", "w.base", "k.cut")
+        return scratch.keep(materialize(met.alias("w").join(targets.alias("t"), _on("w", "t")).select("w.source", "w.size", "t.source_size", "t.target", "w.base", "w.cut"), "decided"))
 
 
 def copies_of(h: Column, base: Column, cut: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     ship(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='vecloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,8 +57,55 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vecloom/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[Scratch] = []
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if _scopes:
+        _scopes[-1].paths.append(path)
+    return out
+
+
+class Scratch:
+    """Deletes the tables that were materialized inside it, but those it was told to ``keep``.
+
+    Results that still read a table lazily need it kept. On leaving, the driver is asked to collect its
+    garbage, because Spark holds the shuffle files of finished work until then.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _scopes.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, a materialized table, outlives this scope and belongs to the one around it."""
+        if df._stored_at in self.paths:
+            self.paths.remove(df._stored_at)
+            if len(_scopes) > 1:
+                _scopes[-2].paths.append(df._stored_at)
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete this table now."""
+        if df._stored_at in self.paths:
+            self.paths.remove(df._stored_at)
+            self._delete(df._stored_at)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+    def __exit__(self, *failed) -> None:
+        _scopes.remove(self)
+        for path in self.paths:
+            self._delete(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -11,10 +14,10 @@ from vecloom.llm import html_text, pivot_search, warc
 
 
 def page(i, extra=""):
-    return f'<html><head><title>t</title><script>var a="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href="/">Home</a></nav><article><h1>Title {i}</h1><p>Fish &amp; chips&nbsp;{i}<br>two <b>th</b>ree<p>more</p>{extra}<div class="comments"><p>bad</p></div></article><footer>&copy; x</footer></body></html>'
+    return f'<html><head><title>t</title><script>var a="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href="/">Home</a></nav><article><h1>Title {i}</h1><p>Fish &amp; chips&nbsp;{i}<br>two <b>th</b>ree<p>more {i}</p>{extra}<div class="comments"><p>bad</p></div></article><footer>&copy; x</footer></body></html>'
 
 
-WANT = "Title {0} Fish & chips {0} two three more"
+WANT = "Title {0} Fish & chips {0} two three more {0}"
 
 
 @pytest.mark.parametrize(
@@ -34,7 +37,7 @@ def test_extract(html, text):
 @pytest.fixture(scope="module")
 def pages(spark):
     share = "<div><ul><li>Tell a friend</li></ul></div>"
-    rows = [(i, f"http://a.org/{i}", page(i, share)) for i in range(6)] + [(10 + i, "http://b.org/x", page(i, f"<div>own {i}</div>")) for i in range(3)]
+    rows = [(i, f"http://a.org/{i}", page(i, share)) for i in range(12)] + [(14 + i, "http://b.org/x", page(i, f"<div>own {i}</div>")) for i in range(3)]
     rows += [(20 + i, f"https://user@C.org:80/{i}", f"<div><p>Welcome to this site</p></div><div><p>story {i}</p></div>") for i in range(4)]
     rows += [(30, None, page(1)), (31, "http://d.org", None), (None, "http://d.org", ""), (5, "http://a.org/5", page(5, share))]
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, hashes string")
@@ -43,13 +46,56 @@ def pages(spark):
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_templates_go(pages, limit):
     got = {r["page_id"]: r["text"] for r in html_text.main_text(pages, limit).collect()}
-    assert all(got[i] == WANT.format(i) for i in range(6))
-    assert all(got[10 + i] == WANT.format(i) + f" own {i}" for i in range(3))
+    assert all(got[i] == WANT.format(i) for i in range(12))
+    assert all(got[14 + i] == WANT.format(i) + f" own {i}" for i in range(3))
     assert all(got[20 + i] == f"story {i}" for i in range(4))
     assert got[30] == WANT.format(1) and got[31] == got[None] == ""
     assert html_text.main_text(pages, limit).count() == pages.count() and html_text.main_text(pages.limit(0), limit).count() == 0
 
 
+def test_templates_against_counting(spark):
+    """Shares of a host's pages counted in Python, inside and outside of articles; without the step the text differs."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(90):
+        host = f"h{i % 3 if i % 2 else 3 + i % 3}.org"
+        outside = [f"<div>{w}</div>" for w in "abcdef" if rng.random() < 0.08 * (1 + "abcdef".index(w))]
+        inside = [f"<p>{w} {host}</p>" for w in ("one", "two", "three", "four") if rng.random() < 0.3 * (1 + ("one", "two", "three", "four").index(w))]
+        rows.append((i, f"http://{host}/{i}", (f"<p>own {i}</p>" + "".join(outside)) if i % 2 else f"<article><p>own {i}</p>{''.join(inside)}</article>"))
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for i, url, html in rows:
+        host = [r for r in rows if r[1].split("/")[2] == url.split("/")[2]]
+        want = []
+        for block in re.findall(r"<(?:p|div)>.*?</(?:p|div)>", html):
+            n, inside = sum(block in h for _, _, h in host), "<article>" in html
+            if n < (max(10, math.ceil(0.8 * len(host))) if inside else max(3, math.ceil(0.1 * len(host)))):
+                want.append(re.sub("<.*?>", "", block))
+        assert got[i] == " ".join(want), i
+        changed += got[i] != html_text.extract(html)
+    assert changed > 20
+
+
+def test_only_template_is_empty(spark):
+    rows = [(i, f"http://a.org/{i}", f"<div>menu</div><p>{i}</p>") for i in range(5)] + [(9, "http://a.org/9", "<div>menu</div>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: str(i) for i in range(5)} | {9: ""}
+
+
+def test_prose_of_articles_is_not_judged_by_class():
+    html = '<article><h1>Copyright law</h1><p id="copyright">a</p><p class="related">b</p><div class="search results">c</div><label>d</label><div class="comments"><p>no</p></div><div class="ad">no</div></article>'
+    assert html_text.extract(html) == "Copyright law a b c d"
+
+
+@pytest.mark.parametrize(
+    "html", ["<p" + " " * 300_000 + ">x", '<div class="ad">' * 30_000 + "<article>x", "<b>" * 30_000 + "</i>" * 30_000 + "x", "<p>" + "<h1>" * 30_000 + "x", '<a b="' * 30_000 + "x", "<" * 300_000 + "x", "<li>" * 30_000 + "x", "<!--" * 50_000 + "x", "<script>" * 30_000 + "x"],
+)
+def test_long_pages_take_linear_time(html):
+    began = time.perf_counter()
+    html_text.extract(html)
+    assert time.perf_counter() - began < 3
+
+
 def test_repeated_articles_are_no_template(spark):
     rows = [(i, "http://a.org/", "<div><p>the very same article</p></div>") for i in range(20)]
     got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

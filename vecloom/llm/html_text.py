@@ -1,22 +1,28 @@
 """HTML extraction with site template removal.
 
-A page becomes an element tree. Elements that never hold main text go by their tag, role, class or id.
-Beyond these, the subtrees of block elements are hashed and counted for each host in Spark, over pages
-of different content; those that recur on a tenth of a host's pages are its template and are deleted
-where they stand. Prose inside an article (paragraphs, headings and the like) is never taken for template.
-What stays of the outermost articles (else of main, else of the body) is the text.
+A page becomes an element tree. The subtrees of block elements are hashed and counted for each host in
+Spark, over pages of different content. Outside of articles and main elements, those that recur on a
+tenth of a host's pages (LEAST at least) are its template; inside of them, where writing may well repeat,
+those that recur on four fifths of its pages (INSIDE_LEAST at least), whatever they are: paragraphs too. Template
+subtrees are deleted where they stand, and a page of nothing else has an empty text. Besides, elements
+that never hold main text go by their tag, role, class or id (NEVER, ROLES, WORDS); inside an article or
+main element paragraphs, headings and the like are not judged by class or id, and other elements only by
+INSIDE_WORDS. What stays of the outermost articles (else of main, else of the body) is the text.
 
 Template hashes go to the workers by broadcast while they are few (their number is counted first);
-else each page meets those of its host by a join that Spark can split when a host is large.
+else each page's own hashes meet the templates by a join, and pages meet what they hit.
 
-Cases: a null or empty html has an empty text. A page without a host meets no template. Pages that
-would lose all their text keep it. Repeated pages count once. An empty table gives an empty table.
+Cases: a null or empty html has an empty text. A page without a host meets no template. Repeated pages
+count once. Parsing is linear in the page, however long its tags, deep its nesting or many its stray end
+tags. Ties cannot be: a share is reached or not. Other columns are ignored, whatever their names. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
@@ -28,17 +34,23 @@ from vecloom.session import materialize
 
 #: A subtree is template from this share of a host's pages on, but never under LEAST pages.
 SHARE, LEAST = 0.1, 3
+#: The same inside articles and main elements.
+INSIDE_SHARE, INSIDE_LEAST = 0.8, 10
+#: Tells a subtree inside from the same one outside.
+_INSIDE = 0x5DEECE66D
 #: Most template hashes that are broadcast (16 bytes each in a worker's set, about 30 MB).
 BROADCAST_TEMPLATES = 400_000
 
 # Fixed sets of HTML: elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-NEVER = frozenset("head script style noscript template nav aside footer form button select option input textarea iframe object embed svg canvas audio video map dialog menu label fieldset title xmp noembed noframes".split())
+NEVER = frozenset("head script style noscript template nav aside footer form button select option input textarea iframe object embed svg canvas audio video map dialog menu title xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dt dd li td th caption".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head"}}
+P_SCOPE = ("table", "td", "th", "button", "div", "article", "section", "main", "li")
+CONTENT = ("article", "main")
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 WORDS = frozenset(
@@ -47,36 +59,58 @@ WORDS = frozenset(
     "subscription popup modal overlay widget widgets pagination pager skip toolbar copyright disclaimer login signup search".split()
 )
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\s*=\s*"[^"]*"|\s*=\s*'[^']*'|[^>])*?)(?:>|\Z)""", re.DOTALL)
+# Words that mark an element other than prose inside an article or main element.
+INSIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr comment comments disqus respond share sharing social newsletter subscribe subscription popup pagination pager sidebar nav navbar navigation breadcrumb breadcrumbs related recommended".split())
+
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 _HOST = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "hash")
+    """An element: ``holds`` is whether an article or main element stands below."""
+
+    __slots__ = ("tag", "attrs", "kids", "hash", "holds")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.kids, self.hash, self.holds = tag, attrs, [], 0, False
 
 
-def parse(page: str) -> Node:
-    """The element tree of a page; children are nodes and decoded strings. End tags may be missing."""
-    root = Node("#root")
-    stack = [root]
+class Open:
+    """The open elements, and at which depths each tag is open."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], defaultdict(list)
 
-    def pop_to(depth: int) -> None:
-        while len(stack) > depth:
-            seal(stack.pop())
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
 
-    def close(tags: set[str] | frozenset[str], scope: set[str] | frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                pop_to(depth)
-                return
-            if stack[depth].tag in scope:
-                return
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            if self.stack:
+                self.at[node.tag].pop()
+                self.stack[-1].holds |= node.holds or node.tag in CONTENT
+            seal(node)
 
+    def deepest(self, tags) -> int:
+        """The depth of the innermost open element of these tags, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
+    def close(self, tags, scope=()) -> None:
+        """Close the innermost of these tags, unless one of ``scope`` stands within."""
+        depth = self.deepest(tags)
+        if depth > self.deepest(scope):
+            self.pop_to(depth)
+
+
+def parse(page: str) -> Node:
+    """The element tree of a page; children are nodes and decoded strings. End tags may be missing."""
+    root = Node("#root")
+    open_ = Open(root)
+    stack = open_.stack
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -90,17 +124,14 @@ def parse(page: str) -> Node:
         if not tag or page[at - 1] != ">":  # comment, doctype, or a tag cut off by the end of the page
             continue
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    pop_to(depth)
-                    break
+            open_.close((tag,))
             continue
         if tag in CLOSES_P:
-            close({"p"}, {"table", "td", "th", "button", "div", "article", "section", "main", "li"})
+            open_.close(("p",), P_SCOPE)
         if tag in CLOSED_BY:
-            close(CLOSED_BY[tag], SCOPE.get(tag, set()))
+            open_.close(CLOSED_BY[tag], SCOPE.get(tag, ()))
             if tag in ("tr", "tbody"):
-                close(CLOSED_BY[tag], SCOPE[tag])
+                open_.close(CLOSED_BY[tag], SCOPE[tag])
         node = Node(tag, m[3] or "")
         stack[-1].kids.append(node)
         if tag in VOID or node.attrs.endswith("/") and tag not in INLINE | PROSE | CLOSES_P:
@@ -111,8 +142,8 @@ def parse(page: str) -> Node:
             at = close_at.end() if close_at else end
             seal(node)
         else:
-            stack.append(node)
-    pop_to(0)
+            open_.push(node)
+    open_.pop_to(0)
     return root
 
 
@@ -137,28 +168,16 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
+        if name in ("class", "id") and not node.holds and not (inside and node.tag in PROSE):
             words = {w.lower() for w in _SPLIT.split(value) if w}
-            if words & WORDS or not inside and "header" in words:
-                if not holds_content(node):
-                    return True
-    return False
-
-
-def holds_content(node: Node) -> bool:
-    """Whether an article or main element stands below."""
-    todo = [k for k in node.kids if isinstance(k, Node)]
-    while todo:
-        n = todo.pop()
-        if n.tag in ("article", "main"):
-            return True
-        todo += [k for k in n.kids if isinstance(k, Node)]
+            if words & (INSIDE_WORDS if inside else WORDS) or not inside and "header" in words:
+                return True
     return False
 
 
 def content_roots(root: Node) -> list[Node]:
     """The outermost articles outside boilerplate; else the outermost main elements; else everything."""
-    for wanted in ("article", "main"):
+    for wanted in CONTENT:
         found, todo = [], [(root, False)]
         while todo:
             node, inside = todo.pop()
@@ -167,7 +186,7 @@ def content_roots(root: Node) -> list[Node]:
                 continue
             if node is not root and is_boilerplate(node, inside):
                 continue
-            inner = inside or node.tag in ("article", "main")
+            inner = inside or node.tag in CONTENT
             todo += [(k, inner) for k in reversed(node.kids) if isinstance(k, Node)]
         if found:
             return found
@@ -187,7 +206,7 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int] = frozenset()
             run.clear()
 
     for root in roots:
-        inside = root.tag in ("article", "main")
+        inside = root.tag in CONTENT
         todo: list = [root]
         while todo:
             x = todo.pop()
@@ -197,7 +216,7 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int] = frozenset()
                 flush()
             elif x.tag == "br":
                 run.append(" ")
-            elif x is not root and (is_boilerplate(x, inside) or x.hash in templates and not (inside and x.tag in PROSE) and x.tag not in INLINE):
+            elif x is not root and (is_boilerplate(x, inside) or x.tag not in INLINE and (x.hash ^ _INSIDE if inside else x.hash) in templates):
                 if x.tag not in INLINE:
                     flush()
             else:
@@ -210,22 +229,19 @@ def blocks(roots: list[Node], templates: frozenset[int] | set[int] = frozenset()
 
 
 def extract(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    if not page:
-        return ""
-    roots = content_roots(parse(page))
-    return " ".join(blocks(roots, templates) or (blocks(roots) if templates else []))
+    return " ".join(blocks(content_roots(parse(page)), templates)) if page else ""
 
 
-def subtree_hashes(root: Node) -> set[int]:
-    """Hashes of the block elements that could be template: not whole pages, contents or their prose."""
+def subtree_hashes(root: Node) -> set[tuple[int, bool]]:
+    """(hash, inside) of the block elements that could be template: not whole pages and contents."""
     out, todo = set(), [(root, False)]
     while todo:
         node, inside = todo.pop()
-        inner = inside or node.tag in ("article", "main")
+        inner = inside or node.tag in CONTENT
         for k in node.kids:
             if isinstance(k, Node):
-                if k.tag not in INLINE and k.tag not in ("html", "head", "body", "article", "main") and k.tag not in VOID and not (inner and k.tag in PROSE):
-                    out.add(k.hash)
+                if k.tag not in INLINE and k.tag not in ("html", "head", "body", "article", "main") and k.tag not in VOID:
+                    out.add((k.hash ^ _INSIDE if inner else k.hash, inner))
                 todo.append((k, inner))
     return out
 
@@ -236,7 +252,7 @@ def host_of(url: str | None) -> str | None:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, hash of the subtrees that recur on SHARE of the host's pages."""
+    """host, hash of the subtrees that recur on their share of the host's pages."""
 
     def work(batches):
         for b in batches:
@@ -247,16 +263,16 @@ def templates(pages: DataFrame) -> DataFrame:
                     continue
                 root = parse(page)
                 content = xxhash.xxh3_64_intdigest(" ".join(blocks(content_roots(root))).encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows.append((host, 0, content))  # the page itself
-                rows += [(host, h, content) for h in subtree_hashes(root)]
-            cols = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "hash", "content"])
+                rows.append((host, 0, None, content))  # the page itself
+                rows += [(host, h, inside, content) for h, inside in subtree_hashes(root)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["host", "hash", "inside", "content"])
 
-    found = pages.select("url", "html").mapInArrow(work, "host string, hash long, content long")
-    counts = materialize(found.groupBy("host", "hash", "content").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count("*").alias("pages")), "subtrees")
-    hosts = counts.where("hash = 0").select("host", F.col("pages").alias("all"))
-    least = F.greatest(F.lit(LEAST), F.ceil(F.col("all") * SHARE))
-    return counts.where("hash <> 0").join(hosts, "host").where(F.col("pages") >= least).select("host", "hash")
+    found = pages.select("url", "html").mapInArrow(work, "host string, hash long, inside boolean, content long")
+    counts = materialize(found.groupBy("host", "hash", "inside", "content").agg(F.lit(1).alias("one")).groupBy("host", "hash", "inside").agg(F.count("*").alias("pages")), "subtrees")
+    hosts = counts.where("inside IS NULL").select("host", F.col("pages").alias("all"))
+    least = F.when(F.col("inside"), F.greatest(F.lit(INSIDE_LEAST), F.ceil(F.col("all") * INSIDE_SHARE))).otherwise(F.greatest(F.lit(LEAST), F.ceil(F.col("all") * SHARE)))
+    return counts.where("inside IS NOT NULL").join(hosts, "host").where(F.col("pages") >= least).select("host", "hash")
 
 
 def main_text(pages: DataFrame, broadcast_limit: int = BROADCAST_TEMPLATES) -> DataFrame:
@@ -282,14 +298,26 @@ def main_text(pages: DataFrame, broadcast_limit: int = BROADCAST_TEMPLATES) -> D
                 yield texts(b, [held.value.get(host_of(u), frozenset()) for u in b.column(1).to_pylist()])
 
         return pages.mapInArrow(near, out)
-    lists = found.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
-    host = F.lower(F.regexp_extract("url", _HOST.pattern, 1))
+    tag = F.xxhash64("page_id", "url", "html")
+
+    def pairs(batches):
+        for b in batches:
+            rows = []
+            for t, url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                host = host_of(url)
+                rows += [(t, host, h) for h, _ in (subtree_hashes(parse(page)) if page and host else ())]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["tag", "host", "hash"])
+
+    own = pages.select(tag.alias("tag"), "url", "html").mapInArrow(pairs, "tag long, host string, hash long")
+    hits = own.join(found, ["host", "hash"]).groupBy(F.col("tag").alias("htag")).agg(F.collect_set("hash").alias("hashes"))  # of one page
 
     def joined(batches):
         for b in batches:
             yield texts(b, [frozenset(h or ()) for h in b.column(3).to_pylist()])
 
-    return pages.withColumn("host", host).join(lists, "host", "left").select("page_id", "url", "html", "hashes").mapInArrow(joined, out)
+    tagged = pages.withColumn("tag", tag)
+    return tagged.join(hits, tagged["tag"] == hits["htag"], "left").select("page_id", "url", "html", "hashes").mapInArrow(joined, out)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,48 +403,68 @@ def test_held_out_equals_sql(spark):
     assert got == {i: language.is_held_out(i) for i in range(50)}
 
 
-def test_substring_dedup(spark, docs, none):
-    rng = random.Random(6)
-    say = lambda: " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randint(6, 14))).capitalize() + "."
-    passage = " ".join(say() for _ in range(8))
-    plain = " ".join(f"z{rng.randrange(10**6)}" for _ in range(200))
-    texts = [" ".join([say() for _ in range(5)] + ([passage] if i % 2 else []) + [say() for _ in range(4)]) for i in range(8)]
-    texts += [f"{say()} {plain}", f"{say()} {plain}", "Short. Same. Lines.", "Short. Same. Lines.", None, ""]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[1])]
-    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1]["text"] == texts[1] and passage not in got[3]["text"] + got[5]["text"] + got[7]["text"]
-    assert all(got[i]["text"] == texts[i] for i in (0, 2, 4, 6, 10, 11, 12, 13))
-    for i in (3, 5, 7):
-        head, tail = texts[i].split(passage)
-        assert got[i]["text"] == head + tail.lstrip() and got[i]["n_removed"] == 8
-    assert len(got[9]["text"].split()) < 60 and got[None]["n_removed"] > 0
+def removed_words(rows, within):
+    """Which words of each row go, by comparing every run of RUN words and every sentence run with all earlier documents."""
+    run = substring_dedup.RUN
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, gone = {}, {}
+    for i in order:
+        own = rows[i][1] or ""
+        w = own.lower().split()
+        begins = substring_dedup.words_of(own)[1].tolist()
+        spans = [(p, p + run) for p in range(len(w) - run + 1)]
+        spans += [(a, b) for x, a in enumerate(begins[:-1]) for b in begins[x + 1 :] if b - a >= run]
+        out = set()
+        for a, b in spans:
+            first = seen.setdefault(tuple(w[a:b]), (rows[i][0], i, a))
+            if (first[0] != rows[i][0] or rows[i][0] is None and rows[first[1]][1] != own) or within and first[1] == i and first[2] != a:
+                out |= set(range(a, b))
+        gone[i] = out
+    return gone
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_substring_dedup_against_brute_force(spark, within):
+    rng = random.Random(31)
+    passages = [" ".join(f"p{j}w{rng.randrange(50)}" + ("." if rng.random() < 0.08 else "") for _ in range(rng.choice((40, 50, 51, 52, 60, 90, 200)))) for j in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(f"d{rng.randrange(10**6)}" + rng.choice(["", "", "", ".", "\n"]) for _ in range(rng.randrange(40))) for _ in range(4)]
+        mix = [x for pair in zip(parts, rng.sample(passages, 3) if i % 3 else [""] * 3, strict=False) for x in pair]
+        rows.append((i, rng.choice([" ", ". ", "\n"]).join(x for x in mix if x)))
+    rows += [(100, rows[1][1]), (101, rows[2][1].upper()), (102, rows[4][1] + " tail"), (103, (passages[5] + " ") * 4), (104, None), (105, ""), (106, "a b. c"), (107, "a b. c"), (None, rows[1][1]), (108, " ".join(["same"] * 3000))]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, tag string, row string").repartition(5)
+    out = substring_dedup.substring_dedup(df, within)
+    assert out.columns == ["doc_id", "text", "tag", "row", "n_sentences", "n_removed"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    gone = removed_words(rows, within)
+    some = 0
+    for i, (doc_id, text) in enumerate(rows):
+        w = (text or "").split()
+        assert (got[doc_id]["text"] or "").split() == [x for k, x in enumerate(w) if k not in gone[i]], doc_id
+        assert (got[doc_id]["text"] is None) == (text is None) and (got[doc_id]["n_removed"] > 0) == bool(gone[i])
+        if not gone[i]:
+            assert got[doc_id]["text"] == text
+        some += bool(gone[i])
+    assert 20 < some < len(rows)
+
+
+def test_substring_dedup_of_awkward_rows(docs, none):
     out = substring_dedup.substring_dedup(docs)
     assert out.count() == len(ROWS) and out.columns == [*docs.columns, "n_sentences", "n_removed"]
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
-def test_substring_dedup_of_few_long_sentences(spark):
-    rng = random.Random(61)
-    say = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
-    passages = ["one " + say(50) + ".", say(28) + ". " + say(28) + ".", say(40) + ". " + say(40) + ".", ". ".join(say(20) for _ in range(3)), say(51), say(55)]
-    texts, left = [], {}
-    for i, p in enumerate(passages * 4):
-        head, tail = (f"{say(30)}. {say(9)}", f"{say(8)}. {say(30)}.") if i % 12 < 6 else (say(70), say(70))  # in the middle of a sentence
-        left[i] = f"{head} {tail}" if i >= len(passages) else f"{head} {p} {tail}"
-        texts.append((i, f"{head} {p} {tail}"))
-    short = say(50)
-    for i in (100, 101):  # fifty words are no passage
-        left[i] = f"{say(30)} {short} {say(30)}"
-        texts.append((i, left[i]))
-    got = {r["doc_id"]: r for r in substring_dedup.substring_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert {i: r["text"] for i, r in got.items()} == left
-    assert all((r["n_removed"] > 0) == (6 <= i < 100) for i, r in got.items())
-
-
-def test_sentences_are_a_partition():
-    for _, t, *_ in ROWS:
-        if t:
-            assert "".join(t[s:e] for s, e, _ in substring_dedup.sentences(t)) == t
+def test_sentence_runs_cover_a_passage():
+    rng = random.Random(5)
+    for _ in range(200):
+        begins = [0]
+        for _ in range(rng.randrange(1, 30)):
+            begins.append(begins[-1] + rng.randrange(1, 70))
+        first, last = (x.tolist() for x in substring_dedup.sentence_runs(substring_dedup.np.array(begins)))
+        covered = {k for a, b in zip(first, last, strict=True) for k in range(a, b)}
+        assert covered == (set(range(begins[-1])) if begins[-1] >= substring_dedup.RUN else set())
+        assert all(b - a >= substring_dedup.RUN and a in begins and b in begins for a, b in zip(first, last, strict=True))
 
 
 def test_pipeline_stages(spark, docs, none):

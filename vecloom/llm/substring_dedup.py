@@ -1,109 +1,92 @@
-"""Substring dedup by sliding sentence spans and sliding word spans.
-
-Every run of SPAN consecutive sentences is hashed and joined globally. The first occurrence of a run,
-by (doc_id, position), stays; sentences covered by any other occurrence go, if the covered stretch has
-MIN_WORDS words or more, so that single repeated lines stay. Sentences end at . ! ? before white space
-and at line ends; in sentences of more than LONG words, words chosen by their hash end a piece, so that
-a passage without punctuation is cut alike wherever it stands.
-
-Besides, every stretch of RUN words that occurred before goes, wherever sentences begin and end. Of the
-windows of GRAM words in a stretch, the one of least hash stands for it; it depends on the words alone, so
-a stretch can only recur where its window does. Windows, two for 27 words, are counted globally, and all
-stretches of a recurring one are then compared. No stretch is missed.
-
-Cases: a null text stays null; texts of fewer sentences than SPAN and fewer words than RUN are left alone.
-A null doc_id comes after all others. Rows with the same doc_id and text are one document and share its
-fate. Case and white space do not matter to a run. Runs are compared as 64-bit hashes. n_removed counts
-sentences removed whole or in part. An empty table gives an empty table.
+"""Substring dedup by sliding sentence spans, made exact for words.
+
+Spans are runs of consecutive sentences that reach RUN words: from every sentence the shortest such run
+forwards, and to every sentence the shortest one backwards. Their hashes are joined globally; a span that
+a smaller doc_id has too is removed, so of each repeated passage the first document keeps it. Sentences
+end at . ! ? before white space and at line ends. A text's repeats of its own stay unless ``within`` is
+set: then all but the first occurrence in the first document go as well.
+
+Sentence spans miss what begins or ends within sentences, so spans of exactly RUN words are held too,
+wherever sentences end. Of the windows of GRAM words in such a span, the one of least hash stands for it;
+it depends on the words alone, so a span can only recur where its window does. Windows, two for 27 words,
+are counted globally, and only spans of a recurring one are hashed and joined. No repeat of RUN words is
+missed, and nothing shorter is touched: the size of a span alone decides. What is removed are the words
+that spans cover; a sentence that spans cover whole goes whole.
+
+Texts that are equal to that of a smaller doc_id are not hashed: all their spans repeat.
+
+Cases: a null text stays null; a text under RUN words has no span. A row without a doc_id is a document
+after all others. Rows with the same doc_id and text are one document and share its fate. Ties cannot be:
+the smaller doc_id is first, in a document the earlier place. Case and white space do not matter. Spans are
+compared as 64-bit hashes. A very long text is hashed as one array of words. Columns of any name pass
+through, but for n_sentences and n_removed; n_removed counts sentences removed whole or in part. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.llm._common import BoundedFilter, packed, small_batches, table
-from vecloom.session import materialize
+from vecloom.session import Scratch, materialize
 
-SPAN = 3
-MIN_WORDS = 25
-LONG = 40
 RUN, GRAM = 51, 26
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
-_END = re.compile(r"[.!?]+(?=\s)|\n+")
 _WORD = re.compile(r"\S+")
 
 
-def sentences(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of consecutive pieces that together are the text."""
-    out, start = [], 0
-    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if end <= start:
-            continue
-        n = len(text[start:end].split())
-        if n > LONG:
-            k = 0
-            for m in _WORD.finditer(text, start, end):
-                k += 1
-                if zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % 8 == 0:
-                    out.append((start, m.end(), k))
-                    start, k = m.end(), 0
-            if start < end:
-                out.append((start, end, k))
-        elif n or not out:
-            out.append((start, end, n))
-        else:  # only white space: part of the piece before
-            out[-1] = (out[-1][0], end, out[-1][2])
-        start = end
-    return out
-
-
-def span_hashes(text: str, pieces: list[tuple[int, int, int]]) -> list[int]:
-    """A signed 64-bit hash of every run of SPAN pieces."""
-    said = [" ".join(text[s:e].lower().split()) for s, e, _ in pieces]
-    return [xxhash.xxh3_64_intdigest("\n".join(said[i : i + SPAN]).encode("utf-8", "surrogatepass")) - (1 << 63) for i in range(len(said) - SPAN + 1)]
-
-
-def removed_pieces(pieces: list[tuple[int, int, int]], at: list[int]) -> set[int]:
-    """Pieces covered by the runs that start at ``at``, in stretches of MIN_WORDS words or more."""
-    covered = sorted({i for p in at for i in range(p, p + SPAN) if i < len(pieces)})
-    out: set[int] = set()
-    stretch: list[int] = []
-    for i in [*covered, None]:
-        if stretch and (i is None or i != stretch[-1] + 1):
-            if sum(pieces[j][2] for j in stretch) >= MIN_WORDS:
-                out.update(stretch)
-            stretch = []
-        if i is not None:
-            stretch.append(i)
-    return out
-
-
-def word_hashes(text: str) -> np.ndarray:
-    words = "\n".join(text.lower().split()).encode("utf-8", "surrogatepass").split(b"\n")
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every ``k`` consecutive words, from the hashes of the words."""
-    n = len(h)
-    if n < k:
-        return np.empty(0, np.uint64)
-    up, down = (np.multiply.accumulate(np.full(n, x, np.uint64)) for x in (_STEP, _BACK))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
-    g = (total[k:] - total[:-k]) * down[: n - k + 1]
-    for by, x in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        g = (g ^ (g >> np.uint64(by))) * np.uint64(x)
-    return g ^ (g >> np.uint64(33))
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the text's words, and where its sentences begin, as places of words, the end included."""
+    words: list[str] = []
+    begins = [0]
+    for line in text.splitlines():
+        for w in line.split():
+            words.append(w)
+            if w[-1] in ".!?":
+                begins.append(len(words))
+        if begins[-1] != len(words):
+            begins.append(len(words))
+    parts = "\n".join(words).lower().encode("utf-8", "surrogatepass").split(b"\n")
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts)) if words else np.empty(0, np.uint64), np.array(begins, np.int64)
+
+
+class Rolling:
+    """Hashes of any runs of words, from the hashes of the words."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        up, self.down = (np.multiply.accumulate(np.full(n, x, np.uint64)) for x in (_STEP, _BACK))
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the words from ``first`` to before ``last``."""
+        g = (self.total[last] - self.total[first]) * self.down[first] + (last - first).astype(np.uint64)
+        for by, x in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            g = (g ^ (g >> np.uint64(by))) * np.uint64(x)
+        return g ^ (g >> np.uint64(33))
+
+    def every(self, k: int) -> np.ndarray:
+        """Of every ``k`` consecutive words."""
+        first = np.arange(max(0, len(self.total) - k))
+        return self.of(first, first + k)
+
+
+def sentence_runs(begins: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first word and after the last of the shortest runs of sentences with ``run`` words, from and to each."""
+    starts, ends = begins[:-1], begins[1:]
+    to = np.searchsorted(ends, starts + run)
+    fro = np.searchsorted(starts, ends - run, side="right") - 1
+    forward, back = to < len(ends), fro >= 0
+    pairs = np.concatenate([np.stack([starts[forward], ends[to[forward]]]), np.stack([starts[fro[back]], ends[back]])], axis=1)
+    return tuple(np.unique(pairs, axis=1)) if pairs.shape[1] else (pairs[0], pairs[1])
 
 
 def least(a: np.ndarray, k: int) -> np.ndarray:
@@ -116,110 +99,131 @@ def least(a: np.ndarray, k: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (k - w)], a[k - w :])
 
 
-def chosen(h: np.ndarray) -> np.ndarray:
-    """For every stretch of RUN words, the least hash of its windows of GRAM words."""
-    return least(rolling(h, GRAM), RUN - GRAM + 1)
+def chosen(rolling: Rolling) -> np.ndarray:
+    """For every RUN words, the least hash of their windows of GRAM words."""
+    return least(rolling.every(GRAM), RUN - GRAM + 1)
 
 
-def marks(h: np.ndarray) -> np.ndarray:
-    """The hashes of all windows that some stretch chose, one for each place."""
-    g, width = rolling(h, GRAM), RUN - GRAM + 1
+def marks(rolling: Rolling) -> np.ndarray:
+    """The hashes of all windows that some RUN words chose, one for each place."""
+    g, width = rolling.every(GRAM), RUN - GRAM + 1
     if len(g) < width:
         return g[:0]
     edge = np.zeros(width - 1, np.uint64)
     return g[g == ~least(~np.concatenate([edge, least(g, width), edge]), width)]
 
 
-def spans(keyed: DataFrame) -> DataFrame:
-    """h, doc_id, tag, pos of every run of sentences, and of every mark with pos -1; ``keyed`` has doc_id, tag, text."""
+def order_of(doc_id: Column, tag: Column) -> Column:
+    """The order of documents: doc_id, and those without one after all others, told apart by their text."""
+    return F.coalesce(doc_id.cast("long"), F.lit(2**62) + F.shiftrightunsigned(tag, 3))
 
-    def work(batches):
-        for b in batches:
-            h, ids, tags, pos = [], [], [], []
-            for doc_id, tag, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = span_hashes(text, sentences(text)) if text else []
-                words = marks(word_hashes(text)).view(np.int64).tolist() if text else []
-                h += found + words
-                ids += [doc_id] * (len(found) + len(words))
-                tags += [tag] * (len(found) + len(words))
-                pos += [*range(len(found)), *([-1] * len(words))]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(pos, pa.int32())], ["h", "doc_id", "tag", "pos"])
 
-    return keyed.mapInArrow(work, "h long, doc_id long, tag long, pos int")
+SPANS = "h long, ord long, tag long, first int, last int"
+_NAMES = ["h", "ord", "tag", "first", "last"]
+
 
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    """A batch of SPANS of (hashes, ord, tag, first, last) for each text."""
+    joined = lambda i, t: np.concatenate([r[i] for r in rows]).astype(t) if rows else np.empty(0, t)
+    n = [len(r[0]) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(joined(0, np.uint64).view(np.int64)), pa.array(np.repeat([r[1] for r in rows], n).astype(np.int64)), pa.array(np.repeat([r[2] for r in rows], n).astype(np.int64)), pa.array(joined(3, np.int32)), pa.array(joined(4, np.int32))], _NAMES)
 
-def met_again(found: DataFrame, sift: bool) -> DataFrame:
-    """doc_id, tag, pos of the hashes that occurred before; ``sift`` where few of them did."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag", "pos")
-    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "first"), "spans")
-    maybe = BoundedFilter(twice, "h", twice.count()).split(found, "h").where("_maybe").drop("_maybe") if sift else found
-    return maybe.join(twice, "h").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tag", "pos")
+
+def spans(keyed: DataFrame) -> DataFrame:
+    """SPANS of the sentence runs of ``keyed`` (ord, tag, text), and of its marks, whose first is -1."""
+
+    def work(batches):
+        for b in batches:
+            rows = []
+            for ord_, tag, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h, begins = words_of(text or "")
+                if len(h) < RUN:
+                    continue
+                rolling = Rolling(h)
+                first, last = sentence_runs(begins)
+                rows.append((rolling.of(first, last), ord_, tag, first, last))
+                m = marks(rolling)
+                rows.append((m, ord_, tag, np.full(len(m), -1), np.full(len(m), -1)))
+            yield _spans(rows)
+
+    return keyed.mapInArrow(work, SPANS)
+
+
+def recurring(found: DataFrame, within: bool) -> DataFrame:
+    """h and first_ord of the hashes that several documents have, or one of them several times if ``within``."""
+    seen = found.groupBy("h").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.count("*").alias("n"))
+    return materialize(seen.where("n > 1" if within else "first_ord < last_ord").select("h", "first_ord"), "recurring")
+
+
+def repeats(found: DataFrame, within: bool) -> DataFrame:
+    """ord, tag, first, last of the spans that an earlier document has, or with ``within`` an earlier place of the first one."""
+    twice = recurring(found, within)
+    met = BoundedFilter(twice, "h", twice.count()).split(found, "h").where("_maybe").select(*_NAMES).join(twice, "h")
+    late = met.where(F.col("ord") > F.col("first_ord")).select("ord", "tag", "first", "last")
+    if not within:
+        return late
+    place = F.struct("tag", "first")
+    own = met.where(F.col("ord") == F.col("first_ord"))
+    first = own.groupBy("h").agg(F.min(place).alias("place"))
+    return late.unionByName(own.join(first, "h").where(place != F.col("place")).select("ord", "tag", "first", "last"))
 
 
 def with_hits(rows: DataFrame, hits: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``columns`` and at, of the rows that surely have no hits and of the others; ``hits`` has id, htag, at."""
+    """``columns`` and at, of the rows that surely have no hits and of the others; ``hits`` has hord, htag, at."""
     tested = BoundedFilter(hits, "htag", hits.count()).split(rows, "tag")
     alone = tested.where("NOT _maybe").select(*columns, F.lit(None).cast(hits.schema["at"].dataType).alias("at"))
-    met = tested.where("_maybe").join(hits, (F.col("tag") == F.col("htag")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").select(*columns, "at")
+    met = tested.where("_maybe").join(hits, (F.col("tag") == F.col("htag")) & (F.col("ord") == F.col("hord")), "left").select(*columns, "at")
     return alone, met
 
 
-def stretches(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """h, doc_id, tag, pos (of the first word) of every stretch of RUN words whose chosen window recurs."""
-    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "marks")
+def word_spans(keyed: DataFrame, found: DataFrame, within: bool) -> DataFrame:
+    """SPANS of all RUN words whose chosen window recurs; ``found`` has the marks."""
+    twice = recurring(found, within).select("h")
     maybe = BoundedFilter(twice, "h", twice.count()).split(found, "h").where("_maybe")
-    hits = materialize(maybe.join(twice, "h").groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("htag")).agg(F.collect_set("h").alias("at")), "marked")
+    hits = materialize(maybe.join(twice, "h").groupBy(F.col("ord").alias("hord"), F.col("tag").alias("htag")).agg(F.collect_set("h").alias("at")), "marked")  # of one text
 
     def work(batches):
         for b in batches:
-            h, ids, tags, pos = [np.empty(0, np.int64)], [], [], [np.empty(0, np.int32)]
-            for doc_id, tag, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = word_hashes(text)
-                here = np.flatnonzero(np.isin(chosen(words), np.array(at, np.int64).view(np.uint64)))
-                h.append(rolling(words, RUN)[here].view(np.int64))
-                pos.append(here.astype(np.int32))
-                ids += [doc_id] * len(here)
-                tags += [tag] * len(here)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(np.concatenate(pos))], ["h", "doc_id", "tag", "pos"])
-
-    met = with_hits(keyed, hits, ["doc_id", "tag", "text"])[1].where("at IS NOT NULL")
-    return materialize(met.mapInArrow(work, "h long, doc_id long, tag long, pos int"), "stretches")
-
-
-def repeated_spans(keyed: DataFrame) -> DataFrame:
-    """doc_id, tag, at: positions of the runs that occurred before, and -1 - position of the stretches of words."""
-    found = materialize(spans(keyed), "runs")
-    runs = met_again(found.where("pos >= 0"), True)
-    words = met_again(stretches(keyed, found.where("pos < 0")), False)
-    return runs.unionByName(words.withColumn("pos", -1 - F.col("pos"))).groupBy("doc_id", "tag").agg(F.collect_set("pos").alias("at"))
-
-
-def cut(text: str, pieces: list[tuple[int, int, int]], at: list[int]) -> tuple[str, int]:
-    """The text without what ``at`` covers, and how many pieces lost something."""
-    out = removed_pieces(pieces, [p for p in at if p >= 0])
-    gone = [pieces[i][:2] for i in out]
-    starts = sorted(-1 - p for p in at if p < 0)
-    if starts:
-        words = [m.span() for m in _WORD.finditer(text)]
-        first = end = starts[0]
-        for p in [*starts, len(words) + RUN]:
-            if p > end:
-                gone.append((words[first - 1][1] if first else words[0][0], words[end - 1][1]))
-                first = p
-            end = p + RUN
-    kept, last = [], 0
-    for s, e in joined(gone):
+            rows = []
+            for ord_, tag, text, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rolling = Rolling(words_of(text)[0])
+                here = np.flatnonzero(np.isin(chosen(rolling), np.array(at, np.int64).view(np.uint64)))
+                rows.append((rolling.of(here, here + RUN), ord_, tag, here, here + RUN))
+            yield _spans(rows)
+
+    met = with_hits(keyed, hits, ["ord", "tag", "text"])[1].where("at IS NOT NULL")
+    return materialize(met.mapInArrow(work, SPANS), "word-spans")
+
+
+def repeated_spans(keyed: DataFrame, within: bool) -> DataFrame:
+    """hord, htag, at: ranges of words to remove from each text of ``keyed`` (ord, tag, text); materialized."""
+    with Scratch(keyed.sparkSession) as scratch:
+        texts = keyed.groupBy("tag").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+        copied = materialize(texts.where("first_ord < last_ord").select("tag", "first_ord"), "copied")
+        tested = BoundedFilter(copied, "tag", copied.count()).split(keyed.select("ord", "tag"), "tag").where("_maybe")
+        copies = materialize(tested.join(copied, "tag").where(F.col("ord") > F.col("first_ord")).select("ord", "tag").distinct(), "copies")
+        held = BoundedFilter(copies, "tag", copies.count()).split(keyed, "tag")
+        once = held.where("NOT _maybe").select("ord", "tag", "text").unionByName(held.where("_maybe").join(copies, ["ord", "tag"], "left_anti").select("ord", "tag", "text"))
+        found = materialize(spans(once), "spans")
+        hits = repeats(found.where("first >= 0"), within).unionByName(repeats(word_spans(once, found.where("first < 0"), within), within))
+        at = hits.groupBy(F.col("ord").alias("hord"), F.col("tag").alias("htag")).agg(F.collect_set(F.struct("first", "last")).alias("at"))  # of one text
+        whole = copies.select(F.col("ord").alias("hord"), F.col("tag").alias("htag"), F.array(F.struct(F.lit(0).alias("first"), F.lit(2**31 - 1).alias("last"))).alias("at"))
+        return scratch.keep(materialize(at.unionByName(whole), "hits"))
+
+
+def cut(text: str, at: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the words in these ranges, and how many sentences lost something."""
+    words = [m.span() for m in _WORD.finditer(text)]
+    if len(words) < RUN:
+        return text, 0
+    begins = words_of(text)[1]
+    kept, last, lost = [], 0, set()
+    for a, b in joined([(a, min(b, len(words))) for a, b in at]):
+        s, e = words[a - 1][1] if a else words[0][0], words[b - 1][1]
         kept.append(text[last:s])
-        if 0 < s and e < len(text) and not text[s - 1].isspace() and not text[e].isspace():  # words of both sides stay apart
-            kept.append(text[s : s + len(text[s:e]) - len(text[s:e].lstrip())] or " ")
         last = e
-    if starts:
-        begins = [s for s, _, _ in pieces]
-        for a, b in gone:
-            for i in range(bisect_right(begins, a) - 1, bisect_left(begins, b)):
-                if i not in out and not text[max(begins[i], a) : min(pieces[i][1], b)].isspace():
-                    out.add(i)
-    return "".join([*kept, text[last:]]), len(out)
+        lost.update(range(int(np.searchsorted(begins, a, side="right")) - 1, int(np.searchsorted(begins, b))))
+    return "".join([*kept, text[last:]]), len(lost)
 
 
 def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -233,30 +237,34 @@ def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, within: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut from text, and n_sentences, n_removed (in place of columns so named)."""
     small_batches(docs.sparkSession)
-    held = packed(docs).withColumn("tag", F.xxhash64("text"))
-    hits = materialize(repeated_spans(held.select("doc_id", "tag", "text")).select(F.col("doc_id").alias("id"), F.col("tag").alias("htag"), "at"), "hits")
-    alone, met = with_hits(held, hits, ["row", "text"])
+    tag = F.xxhash64("text")
+    held = packed(docs).withColumn("tag", tag).withColumn("ord", order_of(F.col("doc_id"), F.col("tag")))
+    hits = repeated_spans(held.where("text IS NOT NULL").select("ord", "tag", "text"), within)
+    alone, met = with_hits(held, hits, ["row"])
     both = alone.unionByName(met)
-    schema = T.StructType([both.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([both.schema["row"], T.StructField("left", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def work(batches):
         for b in batches:
             texts, total, gone = [], [], []
-            for text, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                pieces = sentences(text) if text else []
-                left, n = cut(text, pieces, at) if at else (text, 0)
+            for text, at in zip(b.column(0).field("text").to_pylist(), b.column(1).to_pylist(), strict=True):
+                left, n = cut(text, [(x["first"], x["last"]) for x in at]) if at and text else (text, 0)
                 texts.append(left)
-                total.append(len(pieces))
+                total.append(sentence_count(text) if text else 0)
                 gone.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], ["row", "left", "n_sentences", "n_removed"])
 
     added = ("n_sentences", "n_removed")
-    kept = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
+    kept = [F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in added]
     return both.mapInArrow(work, schema).select(*kept, *added)
 
 
+def sentence_count(text: str) -> int:
+    return sum(sum(w[-1] in ".!?" for w in words) + (words[-1][-1] not in ".!?") for words in map(str.split, text.splitlines()) if words)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))

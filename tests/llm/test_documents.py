@@ -175,6 +175,7 @@ def test_links_that_no_centre_sees(spark, monkeypatch, tile):
         rows += [(3 * c + i, " ".join(t)) for i, t in enumerate((x, z, y))]
     monkeypatch.setattr(minhash, "TILE", tile)
     monkeypatch.setattr(minhash, "FIRST", 1)
+    monkeypatch.setattr(minhash, "LOW", 64)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
@@ -205,6 +206,21 @@ def test_sketches_estimate_similarity():
     assert sk.linked(sets[0], sets[1], int(100 * true)) and not sk.linked(sets[0], sets[1], int(100 * true) + 1)
 
 
+def test_similar_by_low_hashes():
+    """Whole sets are decided but for a hash or two; larger ones are never missed at the threshold."""
+    rng = random.Random(8)
+    for n in (50, 700, 5000):
+        for share in (0.7, 0.78, 0.8, 0.9):
+            common = int(2 * n * share / (1 + share))
+            pool = sk.np.array([rng.getrandbits(63) for _ in range(2 * n)], sk.np.uint64)
+            a, b = sk.np.sort(pool[:n]), sk.np.sort(pool[n - common : 2 * n - common])
+            true = common / (2 * n - common)
+            low = [(x >> sk.np.uint64(31)).astype(sk.np.uint32)[: minhash.LOW] for x in (a, b)]
+            found = minhash.similar(*low, n, n, 80)
+            assert found or true < 0.8
+            assert not found or true > (0.75 if n > 100 else 0.7)
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)

@@ -8,12 +8,12 @@ member and band. Edges whose sketches agree are confirmed on the full shingle se
 components, and buckets are contracted to them.
 
 What stars alone could lose are links between two members of a bucket that the centre does not connect.
-Buckets that still hold several components therefore get other centres, chosen by a hash, twice more.
-Then, in waves, every component but a bucket's largest proposes the members outside it whose sketches
-agree best with one of its own, 4 at first and 8 times as many in each wave; proposals are confirmed,
-components merge, and waves go on until no component has a proposal left. So pairs grow with the
-components that remain, not with the square of a bucket, and only members that truly stand apart are
-held against all that resemble them. Buckets of more than TILE members are first dealt by the 36 bands
+Members of buckets that still hold several components are therefore compared inside: those whose
+sketches agree, by their LOW smallest shingle hashes, which are the whole set of most texts, so that what
+leaves a bucket are links and hardly anything In waves, every component but a bucket's largest proposes its likeliest links out of it, 4 at first
+and 8 times as many in each wave; proposals are confirmed, components merge, and waves go on until no
+component has a proposal left. So pairs grow with the components, not with the square of a bucket, and
+members that stand apart propose nothing. Buckets of more than TILE members are first dealt by the 36 bands
 of 6 that the other 216 bins make (a linked pair misses all with probability 2e-5 at similarity 0.80 and
 4e-8 at 0.85); what is still larger is compared tile by tile.
 
@@ -41,10 +41,12 @@ from vecloom.session import Scratch, materialize
 
 #: Leading sketch bytes that star edges carry for the first comparison.
 SHORT = 128
-#: Members of a tile; a task holds two tiles of 500 bytes a member.
+#: Members of a tile; a task holds two tiles of 4.5 KB a member at most.
 TILE = 2048
-#: Rounds of other centres; proposals of a component in the first wave, and how they grow.
-ROUNDS, FIRST, GROWTH = 2, 4, 8
+#: Smallest shingle hashes (32 bits of each) that members of a mixed bucket are compared by.
+LOW = 1024
+#: Proposals of a component in the first wave, and how they grow.
+FIRST, GROWTH = 4, 8
 
 
 def _class_key(shingles: np.ndarray) -> bytes | None:
@@ -141,14 +143,10 @@ def bucket_members(classes: Classes) -> DataFrame:
     return materialize(maybe.join(stars, "key").select("key", "node", "n"), "members")
 
 
-def star_edges(members: DataFrame, classes: Classes, percent: int, turn: int) -> DataFrame:
-    """(a, b): the centre of some bucket and a member outside its component, where their short sketches agree.
-
-    ``members`` has key, node, comp. The centre is the smallest node in turn 0, else that of smallest hash.
-    """
-    order = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")
-    centres = members.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "comp")).alias("centre"))
-    edges = members.join(centres, "key").where("comp <> centre.comp").select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+def star_edges(members: DataFrame, classes: Classes, percent: int) -> DataFrame:
+    """(a, b): the centre of some bucket and another member, where sizes and short sketches allow a link."""
+    centres = members.groupBy("key").agg(F.min("node").alias("centre"))
+    edges = members.join(centres, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     short = classes.get("sketch", "n_shingles").select("node", F.substring("sketch", 1, SHORT).alias("short"), F.col("n_shingles").alias("n"))
     one = lambda x: short.select(F.col("node").alias(x), F.col("short").alias(f"k{x}"), F.col("n").alias(f"n{x}"))
     met = edges.join(one("b"), "b").join(one("a"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -172,7 +170,39 @@ def mixed_members(members: DataFrame, component: DataFrame) -> DataFrame:
     return materialize(labelled.join(mixed, "key", "left_semi"), "mixed")
 
 
-def proposals(mixed: DataFrame, classes: Classes, percent: int, most: int) -> DataFrame:
+def low_hashes(mixed: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, low: the LOW smallest hashes of the sets of these members, sorted; written once."""
+    nodes = mixed.select(F.col("node").alias("rid")).distinct()
+    wanted = rows.select("rid", F.col("dk").alias("wdk"), "cls").join(nodes, "rid")
+    ids = BoundedFilter(wanted.select("wdk").distinct(), "wdk", nodes.count())
+    texts = ids.split(docs.select(_document_key(), F.col("text").cast("string").alias("text")), "dk").where("_maybe").select("dk", "text")
+
+    def work(batches):
+        for b in batches:
+            sets = [sk.shingle_set(t) for t in b.column(1).to_pylist()]
+            low = [(x >> np.uint64(32)).astype(np.uint32)[:LOW].tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_class_key(x) for x in sets], pa.binary()), pa.array(low, pa.binary())], ["dk", "c", "low"])
+
+    made = texts.mapInArrow(work, "dk long, c binary, low binary")
+    met = made.join(wanted, (F.col("dk") == F.col("wdk")) & (F.col("c") == F.col("cls")))
+    return materialize(met.groupBy(F.col("rid").alias("node")).agg(F.first("low").alias("low")), "low")
+
+
+def similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """Whether sets of these sizes can be linked, by their smallest hashes: decided if both are whole, else by four standard errors."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    if nx <= LOW and ny <= LOW:
+        shared = int((both[1:] == both[:-1]).sum())
+        return 100 * shared >= percent * (len(both) - shared) - 200  # two hashes may be equal by chance, or once in a set
+    double = both[1:] == both[:-1]
+    kept = min(LOW, len(both) - int(double.sum()))
+    first = np.flatnonzero(np.concatenate(([True], ~double)))  # where each distinct value begins
+    last = first[kept] if kept < len(first) else len(both)
+    return last / kept - 1 >= _floor(percent, kept)
+
+
+def proposals(mixed: DataFrame, classes: Classes, low: DataFrame, percent: int, most: int) -> DataFrame:
     """a, b, more: for every component but the largest of each bucket, the ``most`` likeliest links out of it, and whether there are others."""
     sketched = classes.get("sketch", "n_shingles")
     small = mixed.where(F.col("n") <= TILE).select("key", F.lit(0).cast("long").alias("sub"), "node", "comp")
@@ -189,12 +219,13 @@ def proposals(mixed: DataFrame, classes: Classes, percent: int, most: int) -> Da
     dealt = dealt.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.select("key", "sub", "node", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     dealt = dealt.select("key", "sub", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "node", "comp")
-    rows = dealt.join(sketched, "node").repartition("key", "sub", "ti", "tj").sortWithinPartitions("key", "sub", "ti", "tj")
+    rows = dealt.join(sketched, "node").join(low, "node").repartition("key", "sub", "ti", "tj").sortWithinPartitions("key", "sub", "ti", "tj")
     least = _floor(percent, sk.BINS)
 
     def best(group):
         node, comp, size = (np.array(group[c], np.int64) for c in ("node", "comp", "n_shingles"))
         sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint32) for x in group["low"]]
         names, place, counts = np.unique(comp, return_inverse=True, return_counts=True)
         largest = int(counts.argmax())
         for c in range(len(names)):
@@ -205,8 +236,9 @@ def proposals(mixed: DataFrame, classes: Classes, percent: int, most: int) -> Da
             for i in own:
                 near = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
                 agree = (sketch[near] == sketch[i]).mean(axis=1)
-                good = agree >= least
-                found += zip((-agree[good]).tolist(), node[near[good]].tolist(), [int(node[i])] * int(good.sum()), strict=True)
+                for j, x in zip(near[agree >= least].tolist(), agree[agree >= least].tolist(), strict=True):
+                    if similar(sets[i], sets[j], size[i], size[j], percent):
+                        found.append((-x, int(node[j]), int(node[i])))
             found.sort()
             for _, x, y in found[:most]:
                 yield min(x, y), max(x, y), len(found) > most
@@ -217,7 +249,7 @@ def proposals(mixed: DataFrame, classes: Classes, percent: int, most: int) -> Da
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "more"])
 
-    picked = rows.select("key", "sub", "ti", "tj", "node", "comp", "sketch", "n_shingles")
+    picked = rows.select("key", "sub", "ti", "tj", "node", "comp", "sketch", "n_shingles", "low")
     return materialize(picked.mapInArrow(work, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")), "proposals")
 
 
@@ -262,17 +294,14 @@ def linked_classes(classes: Classes, docs: DataFrame, rows: DataFrame, percent:
         with Scratch(spark) as step:
             members = step.keep(bucket_members(classes))
         with Scratch(spark) as step:
-            links = confirm(star_edges(members.withColumn("comp", F.col("node")), classes, percent, 0), docs, rows, percent)
+            links = confirm(star_edges(members, classes, percent), docs, rows, percent)
             component = step.keep(connected_components(links, "a", "b"))
-        for turn in range(1, ROUNDS + 1):
-            with Scratch(spark) as step:
-                edges = star_edges(mixed_members(members, component), classes, percent, turn)
-                if not edges.isEmpty():
-                    component = step.keep(merged(component, confirm(edges, docs, rows, percent)))
+        with Scratch(spark) as step:
+            low = step.keep(low_hashes(mixed_members(members, component), docs, rows))
         tried, most, open_ = None, FIRST, True
         while open_:
             with Scratch(spark) as step:
-                found = proposals(mixed_members(members, component), classes, percent, most)
+                found = proposals(mixed_members(members, component), classes, low, percent, most)
                 new = found.select("a", "b")
                 new = step.keep(materialize(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), "new"))
                 links = None if new.isEmpty() else confirm(new, docs, rows, percent)

@@ -13,7 +13,8 @@ response; the others revisit it and have no payload of their own.
 Cases: a null html is an empty payload; a null url has the empty key. Control characters in a URL are
 percent-encoded. Rows repeated under one page_id with one payload have the same type; a null page_id
 is never referred to while the payload has another, and its records are responses. Payloads are equal
-when SHA-1, SHA-256 and length are. An empty table gives no archive and an empty result.
+when SHA-1, SHA-256 and length are. Ties: captures of one key are ordered by file and offset. A very long
+page is one record, held whole by a worker. Other columns are ignored, whatever their names. An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -226,16 +227,16 @@ class Archive:
         return self.entries(blocks).join(keys, "key", "left_semi")
 
     def read(self, entries: DataFrame) -> DataFrame:
-        """page_id, type, refers_to, payload of index lines, by range reads of the archives."""
-        schema = "page_id long, type string, refers_to long, payload binary"
+        """page_id, type, refers_to, digest (as the record says), payload of index lines, by range reads of the archives."""
+        schema = "page_id long, type string, refers_to long, digest string, payload binary"
 
         def parsed(data: bytes):
             fields, payload, _ = read_record(data)
-            return page_of(fields["WARC-Record-ID"]), fields["WARC-Type"], page_of(fields.get("WARC-Refers-To")), payload
+            return page_of(fields["WARC-Record-ID"]), fields["WARC-Type"], page_of(fields.get("WARC-Refers-To")), fields["WARC-Payload-Digest"].removeprefix("sha1:"), payload
 
         def out(rows):
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["page_id", "type", "refers_to", "payload"])
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["page_id", "type", "refers_to", "digest", "payload"])
 
         def ranges(batches):
             files: dict = {}
@@ -269,15 +270,17 @@ def captures(archive: Archive) -> DataFrame:
 
     def measure(batches):
         for b in batches:
-            sizes = [len(x.as_buffer()) if t == "response" else None for x, t in zip(b.column(3), b.column(1).to_pylist(), strict=True)]
-            digests = [payload_digest(x.as_buffer()) if n is not None else None for x, n in zip(b.column(3), sizes, strict=True)]
+            sizes = [len(x.as_buffer()) if t == "response" else None for x, t in zip(b.column(4), b.column(1).to_pylist(), strict=True)]
+            digests = [payload_digest(x.as_buffer()) if n is not None else said for x, n, said in zip(b.column(4), sizes, b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), b.column(1), b.column(2)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     read = archive.read(archive.entries()).mapInArrow(measure, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     read = materialize(read, "captures")
-    held = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("_held")).agg(F.max("payload_bytes").alias("_bytes"), F.max("payload_digest").alias("_digest"))
-    again = read.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(held, F.col("refers_to") == F.col("_held"), "left")
-    again = again.select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to")
+    # One page_id may stand on several pages: a revisit meets the response of its digest.
+    held = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("_held"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
+    same = (F.col("refers_to") == F.col("_held")) & (F.col("payload_digest") == F.col("_digest"))
+    again = read.where("record_type = 'revisit'").drop("payload_bytes").join(held, same, "left")
+    again = again.select("page_id", F.col("_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return read.where("record_type = 'response'").unionByName(again)
 
 

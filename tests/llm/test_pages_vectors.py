@@ -114,7 +114,7 @@ def captured(spark):
 def test_archive_round_trip(spark, captured):
     rows, df = captured
     a = warc.Archive.write(df, file_bytes=2000)
-    got = sorted(map(tuple, warc.captures(a).collect()), key=str)
+    got = sorted(map(tuple, warc.captures(a, df).collect()), key=str)
     want = []
     for i, _, html in rows:
         raw = (html or "").encode()
@@ -137,7 +137,8 @@ def test_archive_round_trip(spark, captured):
 def test_one_page_id_on_two_pages(spark):
     """A revisit has the bytes and the digest of the payload it shares, not of another page under that page_id."""
     rows = [(1, "http://a.org/1", "long payload " * 9), (9, "http://a.org/9", "long payload " * 9), (9, "http://b.org/9", "other"), (2, "http://b.org/2", "other")]
-    got = sorted(map(tuple, warc.captures(warc.Archive.write(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(tuple, warc.captures(warc.Archive.write(pages), pages).collect()))
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
     want = [(i, len(h), digest(h), "response" if i == 9 else "revisit", None if i == 9 else 9) for i, _, h in rows]
     assert got == sorted(want, key=str) or sorted(got, key=str) == sorted(want, key=str)
@@ -145,7 +146,7 @@ def test_one_page_id_on_two_pages(spark):
 
 def test_large_payload_bound(captured):
     rows, df = captured
-    out = warc.captures(warc.Archive.write(df, least_bytes=10**6))
+    out = warc.captures(warc.Archive.write(df, least_bytes=10**6), df)
     assert out.count() == len(rows) and out.where("record_type <> 'response'").isEmpty()
 
 
@@ -165,7 +166,19 @@ def test_lookup(spark, captured, monkeypatch, limit):
 
 
 def test_empty_archive(captured):
-    assert warc.captures(warc.Archive.write(captured[1].limit(0))).count() == 0
+    none = captured[1].limit(0)
+    assert warc.captures(warc.Archive.write(none), none).count() == 0
+
+
+def test_captures_search_the_directory(spark, captured, monkeypatch):
+    """Only the captures of the URLs asked for are read, also under one key that fills many blocks."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    rows = [(i, "http://a.org/ x" if i % 3 else f"http://b{i % 5}.org/", f"page {i}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a = warc.Archive.write(pages, file_bytes=100)
+    got = warc.captures(a, pages.where("page_id = 1")).collect()
+    assert sorted(r["page_id"] for r in got) == [i for i in range(60) if i % 3]
+    assert all(r["payload_bytes"] == len(f"page {r['page_id']}") for r in got)
 
 
 def brute(rows, step, k, d=8):

@@ -38,6 +38,8 @@ RECORD_END = "\r\n\r\n"
 #: Bytes of payload a file holds on average; files are split by their number of records.
 FILE_BYTES = 16 << 20
 BLOCK_LINES = 1000
+#: Bytes of archives that one task reads back on average.
+TASK_BYTES = 64 << 20
 #: Most directory entries that a lookup broadcasts; beyond, keys meet the decoded lines by a join.
 DIRECTORY_ROWS = 200_000
 DATE = "2024-01-01T00:00:00Z"
@@ -64,6 +66,11 @@ def url_key(url: str | None) -> str:
     return f"{host}{port}){m[4] or '/'}"
 
 
+def target_uri(url: str | None) -> str:
+    """The URL as its record says it: control characters and blanks percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+
+
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -75,10 +82,9 @@ def record_id(page_id: int | None) -> str:
 def record(page_id: int | None, url: str | None, page: str | None, refers_to: int | None) -> str:
     """A record without its end: a response, or a revisit of the page ``refers_to``."""
     payload = (page or "").encode("utf-8")
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
     block_bytes = len(http) + (len(payload) if refers_to is None else 0)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target_uri(url)}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {block_bytes}"]
@@ -103,7 +109,10 @@ class Archive:
     """Archives and their index, all under one path in the shared folder."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.path = spark, str(self._files.makeQualified(at).toString())
+        path = self.path  # with its scheme, which decides how read() reads
         self.records, self.blocks = f"{path}/records", f"{path}/blocks"
 
     @classmethod
@@ -197,10 +206,11 @@ class Archive:
     def lookup(self, urls: DataFrame, limit: int = DIRECTORY_ROWS) -> DataFrame:
         """Index lines of the captures of ``urls`` (url).
 
-        Each key is binary-searched in the sparse directory; only the blocks found are decoded.
+        Each key is binary-searched in the sparse directory; only the blocks found are decoded. A directory of more
+        than ``limit`` entries is not broadcast: keys meet the decoded lines by a join, with the same result.
         """
         small_batches(self.spark)
-        key_of = lambda batches: (pa.RecordBatch.from_arrays([pa.array(map(url_key, b.column(0).to_pylist()), pa.string())], ["key"]) for b in batches)
+        key_of = lambda batches: (pa.RecordBatch.from_arrays([pa.array([url_key(target_uri(u)) for u in b.column(0).to_pylist()], pa.string())], ["key"]) for b in batches)
         keys = urls.select(F.col("url").cast("string").alias("url")).mapInArrow(key_of, "key string").distinct()
         if self.index().count() > limit:
             return self.entries().join(keys, "key", "left_semi")
@@ -213,11 +223,8 @@ class Archive:
                 out = []
                 for key in b.column(0).to_pylist():
                     i = bisect.bisect_right(firsts, key) - 1
-                    while i >= 0:  # a key may fill several blocks; those before end under it
-                        if rows[i][1] >= key:
-                            out.append((key, rows[i][2]))
-                        elif rows[i][0] < key and (i == 0 or rows[i - 1][1] < key):
-                            break
+                    while i >= 0 and rows[i][1] >= key:  # a key may fill several blocks in a row
+                        out.append((key, rows[i][2]))
                         i -= 1
                 cols = list(zip(*out, strict=True)) or [()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["key", "block"])
@@ -259,14 +266,21 @@ class Archive:
 
         picked = entries.select("file", "offset", "length")
         if self.records.split(":", 1)[0] in ("file", "hdfs", "s3", "gs"):
-            return picked.sortWithinPartitions("file", "offset").mapInArrow(ranges, schema)
+            # Lines come in the order of keys: dealt by file, each archive is opened by one task and read forwards.
+            bytes_ = self._files.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(self.records)).getLength()
+            parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), bytes_ // TASK_BYTES + 1)
+            return picked.repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(ranges, schema)
         places = picked.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("places"))  # of one file: bounded by its size
         files = self.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(self.records)
         return files.join(places, files["path"] == places["file"]).select("content", "places").mapInArrow(slices, schema)
 
 
-def captures(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read back by its index line."""
+def captures(archive: Archive, urls: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture of ``urls`` (url).
+
+    Their keys are searched in the directory; index lines of the blocks found lead to the records. A revisit has the
+    bytes of its response, which may stand under another URL: name it among ``urls``, or its bytes are null.
+    """
 
     def measure(batches):
         for b in batches:
@@ -274,7 +288,7 @@ def captures(archive: Archive) -> DataFrame:
             digests = [payload_digest(x.as_buffer()) if n is not None else said for x, n, said in zip(b.column(4), sizes, b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), b.column(1), b.column(2)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    read = archive.read(archive.entries()).mapInArrow(measure, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    read = archive.read(archive.lookup(urls)).mapInArrow(measure, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     read = materialize(read, "captures")
     # One page_id may stand on several pages: a revisit meets the response of its digest.
     held = read.where("record_type = 'response'").groupBy(F.col("page_id").alias("_held"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
@@ -285,7 +299,8 @@ def captures(archive: Archive) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captures(Archive.write(table(spark, sf_dir, "pages")))
+    pages = table(spark, sf_dir, "pages")
+    return captures(Archive.write(pages), pages)
 
 
 ORACLE_SQL = """

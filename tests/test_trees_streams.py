@@ -38,6 +38,27 @@ def test_tree_invariants(spark, grown):
     assert not tree.test_covering(broken)
 
 
+def test_groups_grow_below_the_heads(spark, monkeypatch):
+    """Far more vectors than heads, a third of them near copies and some exact ones: siblings stay apart."""
+    monkeypatch.setattr(tree, "SPLIT", 50)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(400, 3)), 5 + 1e-4 * rng.normal(size=(200, 3)), np.full((30, 3), 7.0)])
+    t = tree.build(from_matrix(spark, x), heads=16, fan=8)
+    assert tree.test_covering(t) and tree.test_nesting(t)
+    rows = {r["uid"]: r for r in t.collect()}
+    assert sorted(rows) == list(range(len(x))) and sum(r["level"] == tree.COPY for r in rows.values()) == 29
+    children = {}
+    for r in rows.values():
+        children.setdefault(r["parent"], []).append(r)
+    for group in children.values():
+        group = [r for r in group if r["level"] > tree.COPY]
+        for i, a in enumerate(group):
+            for b in group[:i]:
+                assert np.linalg.norm(x[a["uid"]] - x[b["uid"]]) > 1.3 ** min(a["level"], b["level"]) * (1 - 1e-6)
+    # The near copies nest: they do not hang side by side under one head.
+    assert max(sum(400 <= r["uid"] < 600 for r in g) for p, g in children.items() if p is not None) < 100
+
+
 def test_rebuild_level(spark, grown):
     _, v, t = grown
     moved = v.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 4).cast("float")))

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["knn_cosine", "range_l2", "medoid", "symmetric_graph", "scc_membership", "dag_parents", "event_windows"]
+QUICK = ["knn_cosine", "range_l2", "medoid", "symmetric_graph", "scc_membership", "dag_parents", "event_windows", "knn_projected", "index_update", "index_dedup", "scc_pruned_children"]
 
 
 def test_names():

@@ -88,12 +88,21 @@ def test_distance_reductions_agree(spark, blobs):
 
 def test_cells_recall(spark, blobs):
     _, df = blobs
-    for metric in ("l2", "dot"):
+    for metric in ("l2", "dot", "exp_neg_dot"):
         exact = {(r["q"], r["n"]) for r in knn.knn(df, df, 5, metric).collect()}
         near = {(r["q"], r["n"]) for r in knn.knn_cells(df, df, 5, metric, cells=10, beam=4).collect()}
         assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_beam_under_dissimilarity(spark, blobs):
+    """A beam over all cells gives the exact answer, on the index's second matrix; a narrow one sees fewer rows."""
+    _, df = blobs
+    two = index.VectorIndex(df.select("vec_id", "embedding").withColumn("embedding_proj", F.reverse("embedding")), "exp_neg_dot", cells=10)
+    rows = lambda found: [(r["q"], r["n"], r["rank"]) for r in found.orderBy("q", "rank").collect()]
+    exact = rows(two.knn(df, 4))
+    assert rows(two.knn(df, 4, beam=10)) == exact != rows(two.knn(df, 4, beam=1))
+
+
 def test_registered_cells_recall(spark):
     at = "/root/testdata/sf0.01"
     exact = {(r["q"], r["n"]) for r in catalog.QUERIES["knn_cosine"](spark, at).where("q <> n").collect()}

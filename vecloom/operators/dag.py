@@ -136,5 +136,17 @@ class DagClustering:
                 one = one.join(only, "cluster", "left_anti").select("round", "cluster", "point")
             out = one if out is None else out.unionByName(one)
         out = materialize(out.distinct(), "dag-assigned")
-        ids = out.select("round", "cluster").distinct().withColumn("node", (F.row_number().over(Window.orderBy("round", "cluster")) - 1).cast("long"))
-        return out.join(ids, ["round", "cluster"]).select("point", "node")
+        return out.join(_numbered(out.select("round", "cluster").distinct()), ["round", "cluster"]).select("point", "node")
+
+
+def _numbered(clusters: DataFrame) -> DataFrame:
+    """round, cluster, node: 0, 1, ... in order. Ranges are numbered on their own, after what precedes each."""
+    kept = materialize(clusters.repartitionByRange("round", "cluster").withColumn("_part", F.spark_partition_id()), "dag-ranges")
+    counts = {r["_part"]: r["count"] for r in kept.groupBy("_part").count().collect()}  # one row a range
+    before, total = [], 0
+    for part in sorted(counts):
+        before.append((part, total))
+        total += counts[part]
+    starts = clusters.sparkSession.createDataFrame(before, "_part int, _before long")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("round", "cluster")) - 1
+    return kept.join(F.broadcast(starts), "_part").select("round", "cluster", (rank + F.col("_before")).cast("long").alias("node"))

@@ -77,8 +77,8 @@ class VectorIndex:
 
     def knn(self, queries: DataFrame, k: int = 10, beam: int | None = None, return_points: bool = False, include_self: bool = True) -> DataFrame:
         """q, n, score, rank; with ``beam``, or on a cells index, approximate by that many cells."""
-        if (beam or self.method == "cells") and self.metric != "exp_neg_dot":
-            found = knn.knn_cells(queries, self.vectors, k, self.metric, self.cells, beam or 8, include_self=include_self)
+        if beam or self.method == "cells":
+            found = knn.knn_cells(queries, self.vectors, k, self.metric, self.cells, beam or 8, include_self=include_self, index_vec=self.vec)
         else:
             found = knn.knn(queries, self.vectors, k, self.metric, vec="embedding", index_vec=self.vec, include_self=include_self)
         return knn.with_points(found, self.vectors) if return_points else found

@@ -230,14 +230,15 @@ def assign_cells(vectors: DataFrame, centres: np.ndarray, probe: int, metric: st
     return vectors.mapInArrow(work, "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
 
 
-def knn_cells(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", cells: int = 64, beam: int = 8, key: str = "vec_id", vec: str = "embedding", include_self: bool = True) -> DataFrame:
-    """Approximate kNN: the index is dealt to cells, a query looks into its ``beam`` nearest cells.
+def knn_cells(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", cells: int = 64, beam: int = 8, key: str = "vec_id", vec: str = "embedding", include_self: bool = True, index_vec: str | None = None) -> DataFrame:
+    """Approximate kNN: the index (its ``index_vec``, if that differs) is dealt to cells, a query looks into its
+    ``beam`` nearest cells.
 
     An equi-join on the cell, so that Spark can split a large cell; scores are exact for what is seen.
-    For inner products, vectors are first lengthened to one norm.
+    For inner products, and dissimilarities that fall with them, vectors are first lengthened to one norm.
     """
-    left, right = _read(queries, key, vec), _read(index, key, vec)
-    if metric == "dot":
+    left, right = _read(queries, key, vec), _read(index, key, index_vec or vec)
+    if metric in ("dot", "exp_neg_dot"):
         phi2 = right.agg(F.max(vx.squared_norm("v"))).first()[0] or 0.0
         right = right.withColumn("v", vx.lengthened("v", phi2))
         left = left.withColumn("v", F.concat("v", F.array(F.lit(0.0))))

@@ -223,6 +223,46 @@ def index_maintenance(spark, sf_dir):
     return _round(index.VectorIndex.load(spark, path, "l2").knn(v, 3), "score")
 
 
+DOT_REVERSED = "list_inner_product(a.embedding::DOUBLE[], list_reverse(b.embedding)::DOUBLE[])"
+
+
+@query("knn_projected", _ranked(f"exp(-{DOT_REVERSED})", "ASC", 5))
+def knn_projected(spark, sf_dir):
+    """Dissimilarity between queries and a second matrix of the index, here its vectors reversed."""
+    v = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    two = index.VectorIndex(v.withColumn("embedding_proj", F.reverse("embedding")), "exp_neg_dot")
+    return _round(two.knn(v, 5), "score")
+
+
+@query("index_update", f"""WITH x AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS n, {L2} AS s FROM embeddings a, x b),
+r AS (SELECT q, n, s, row_number() OVER (PARTITION BY q ORDER BY s, (q <> n), n) AS rank FROM p) SELECT q, n, round(s, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 3""")
+def index_update(spark, sf_dir):
+    """Every third vector is replaced by its reverse; ids that the index does not hold are ignored."""
+    v = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    built = index.VectorIndex(v, "l2")
+    moved = v.where("vec_id % 3 = 0").withColumn("embedding", F.reverse("embedding"))
+    built.update(moved.unionByName(moved.withColumn("vec_id", -1 - F.col("vec_id"))))
+    return _round(built.knn(v, 3), "score")
+
+
+@query("index_dedup", "SELECT count(DISTINCT embedding) AS built, count(DISTINCT embedding) AS inserted FROM embeddings")
+def index_dedup(spark, sf_dir):
+    """Exact duplicates stay out of an index with ``dedup``, of one batch and of later ones."""
+    v = _vectors(spark, sf_dir).select("vec_id", "embedding")
+    again = v.withColumn("vec_id", -1 - F.col("vec_id"))
+    built = index.VectorIndex(v.unionByName(again), "l2", dedup=True)
+    n = len(built)
+    built.insert(again.withColumn("vec_id", F.col("vec_id") * 2 - 1_000_000_000))
+    return spark.createDataFrame([(n, len(built))], "built long, inserted long")
+
+
+@query("covering_levels", f"SELECT vec_id, ceil(ln(s) / ln({vx.BASE}))::INT AS level, round(pow({vx.BASE}, ceil(ln(s) / ln({vx.BASE}))), 6) AS radius FROM (SELECT vec_id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + 0.001 AS s FROM embeddings)")
+def covering_levels(spark, sf_dir):
+    """The lowest level that reaches a distance, here a norm and a little, and its radius."""
+    v = _vectors(spark, sf_dir).select("vec_id", vx.level_of(vx.norm("embedding") + 0.001).alias("level"))
+    return _round(v.withColumn("radius", vx.covering_radius("level")), "radius")
+
+
 # Aggregates
 
 
@@ -346,6 +386,20 @@ def scc_children(spark, sf_dir):
     return _fit(spark, sf_dir, THRESHOLDS[:2]).children(2)
 
 
+@query("scc_pruned_children", _scc(THRESHOLDS) + """, kids AS (SELECT DISTINCT y.node AS parent, x.node AS child FROM m2 x JOIN m3 y USING (point)),
+wide AS (SELECT 1 AS lvl, y.node FROM m0 x JOIN m1 y USING (point) GROUP BY y.node HAVING count(DISTINCT x.node) > 1 UNION ALL SELECT 2, y.node FROM m1 x JOIN m2 y USING (point) GROUP BY y.node HAVING count(DISTINCT x.node) > 1)
+SELECT parent, coalesce(max(lvl), 0)::INT AS level, child FROM kids LEFT JOIN wide ON node = child GROUP BY parent, child""")
+def scc_pruned_children(spark, sf_dir):
+    return _fit(spark, sf_dir, THRESHOLDS).pruned_children(3)
+
+
+@query("scc_descendants", _scc(THRESHOLDS) + " SELECT point FROM m3 WHERE node = (SELECT min(node) FROM m3)")
+def scc_descendants(spark, sf_dir):
+    """The points under the first root."""
+    h = _fit(spark, sf_dir, THRESHOLDS)
+    return h.descendants(3, h.roots().agg(F.min("node")).first()[0])
+
+
 @query("scc_many_rounds")
 def scc_many_rounds(spark, sf_dir):
     """Fifty rounds; clusters a level. Held against a pure-Python model in the tests."""

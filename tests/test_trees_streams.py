@@ -124,6 +124,27 @@ def test_stream_of_vectors(spark, tmp_path):
     assert len(c.index) == 24
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    x = np.random.default_rng(10).normal(size=(25, 6))
+    v = from_matrix(spark, x)
+    arrive = lambda i: v.where("vec_id = 0" if i == 0 else f"vec_id > 0 AND vec_id % 3 = {i - 1}").coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+
+    def run(state):
+        c = StreamingClusters(spark, 4, [0.9, 0.5, -math.inf])
+        stream = spark.readStream.schema("vec_id long, embedding array<float>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        cluster_stream(stream, c, str(tmp_path / state)).awaitTermination()
+        return c
+
+    members = lambda c: sorted(map(tuple, c.clusters.hierarchy.membership().collect()))
+    for i in range(4):
+        arrive(i)
+        c = run("often")  # a new process each time; the first batch is one vector, which waits
+        assert (c.waiting is not None) == (i == 0)
+    whole = run("once")
+    assert len(c.index) == len(whole.index) == 25 and members(c) == members(whole)
+    assert members(run("often")) == members(whole)  # nothing new arrived
+
+
 def test_windows(spark):
     e = spark.sql("SELECT timestamp '2024-01-01 01:00:00' AS ts, 'a' AS event_type, 2.0D AS value UNION ALL SELECT timestamp '2024-01-01 23:00:00', 'a', 3.0D")
     assert [(r["n"], r["total"]) for r in windowed_counts(e).collect()] == [(2, 5.0)]

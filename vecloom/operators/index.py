@@ -36,6 +36,13 @@ class VectorIndex:
         self.dimension = vx.check_dimensions(self.vectors, self.vec)
         self.properties: DataFrame | None = None
 
+    @classmethod
+    def of_table(cls, vectors: DataFrame, metric: str = "l2", method: str = "exact", dedup: bool = False, noise: float = 0.0, seed: int = 0, cells: int = 64) -> VectorIndex:
+        """An index over a table that an index wrote, taken as it is."""
+        out = cls(vectors.limit(0), metric, method, dedup, noise, seed, cells)
+        out.vectors, out.dimension = vectors, vx.check_dimensions(vectors, out.vec)
+        return out
+
     def _taken(self, vectors: DataFrame) -> DataFrame:
         if self.noise:
             vectors = vectors.withColumn("embedding", vx.noisy("embedding", self.noise, self.seed).cast(vectors.schema["embedding"].dataType))

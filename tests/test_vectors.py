@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +137,56 @@ def test_index_lifecycle(spark, blobs, tmp_path):
 def test_coo_round_trip(spark):
     e = from_coo(spark, [0, 1], [1, 2], [0.5, 0.25])
     assert [a.tolist() for a in to_coo(e.orderBy("seq"))] == [[0, 1], [1, 2], [0.5, 0.25]]
+
+
+def test_tiles_agree_with_double_precision(spark):
+    """Near copies, common offsets, copies beyond k and queries without their own row among the k + 1 first copies."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 8))
+    x[300:600] = x[5]
+    x[600:700] = x[7] + rng.normal(size=(100, 8)) * 1e-9
+    for shift in (0.0, 3000.0):
+        y = x + shift
+        df = from_matrix(spark, y).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        held = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+        for metric, down in (("l2", False), ("dot", True)):
+            for self_too in (True, False):
+                got = {}
+                for r in knn.knn(df, df, 4, metric, include_self=self_too, block_bytes=8 * 8 * 400).collect():
+                    got[r["q"], r["rank"]] = r["n"]
+                for q in (0, 5, 7, 305, 450, 599, 650, 899):
+                    s = knn.exact(metric, held[q], held)
+                    n = np.arange(900)
+                    order = np.lexsort((n, n != q, -s if down else s))
+                    want = order[:4] if self_too else order[order != q][:4]
+                    assert [got[q, k] for k in range(1, 5)] == want.tolist()
+
+
+def test_search_memory_is_of_a_tile():
+    """A task's arrays do not grow with the block times a batch of queries."""
+    x = np.random.default_rng(2).normal(size=(30_000, 8))
+    ids, none = np.arange(len(x)), np.empty(0, int)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids[:600]), pa.array(list(x[:600]))], ["id", "v"])
+    tracemalloc.start()
+    found = list(knn._best_rows("l2", 5, 1, True, (ids, x, np.zeros(len(x), np.int32), none, x[:0], none), None, [batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 3000 and peak < 60e6  # 256 x 30,000 doubles, three times, were 184 MB
+
+
+@pytest.mark.parametrize("search", [lambda df: knn.knn_cells(df, df, 3, "l2", cells=5, beam=3)])
+def test_no_plan_joins_all_pairs(spark, blobs, search):
+    plan = search(blobs[1])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "cell#" not in plan
+
+
+def test_range_leaves_no_copy_of_its_pairs(spark, blobs):
+    """Pairs of a range, as many as the square of a dense group, go straight to the reader, and only once."""
+    _, df = blobs
+    written = []
+    knn_materialize, knn.materialize = knn.materialize, lambda table, name: written.append(name) or knn_materialize(table, name)
+    try:
+        found = knn.range_join(df, df, 7.0, block_bytes=16 * 8 * 30)
+    finally:
+        knn.materialize = knn_materialize
+    assert set(written) <= {"queries"} and found.count() == found.distinct().count() > 100

@@ -1,9 +1,10 @@
 """Nearest-neighbour joins: exact in blocks, in plain SQL for small inputs, and approximate by cells.
 
 The exact kernel keeps one side in bounded broadcast blocks and streams the other through Arrow batches:
-a matrix product finds who can be among the k best, and these few are ranked by the score computed in
-element order, ties by the smaller id. A pass over the streamed side keeps k rows a query, so passes
-add up without a shuffle of vectors; the last ranking shuffles ids and scores only.
+matrix products in small tiles find who can be among the k best, and these few are ranked by the score
+computed in element order, ties by the smaller id. A pass over the streamed side keeps k rows a query, so
+passes add up without a shuffle of vectors; the last ranking shuffles ids and scores only. What a task
+holds is a block, a tile and a batch, whatever the sizes of both sides.
 """
 
 from __future__ import annotations
@@ -22,6 +23,12 @@ from vecloom.session import materialize
 METRICS = {"l2": False, "dot": True, "cosine": True, "exp_neg_dot": False}
 #: Bytes of vectors in one broadcast block.
 BLOCK_BYTES = 32 << 20
+#: Bytes of vectors in one row on the way to a block.
+PACK_BYTES = 4 << 20
+#: Queries and rows of a block in one matrix product, and pairs that are scored at once.
+CHUNK = 512
+TILE = 4096
+PAIRS = 1 << 15
 
 
 def scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -44,10 +51,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1.0, n)[:, None]
 
 
-def _slack(raw: np.ndarray) -> float:
-    return 1e-9 * (1.0 + float(np.abs(raw).max(initial=0.0)))
-
-
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return np.asarray(column.flatten(), float).reshape(rows, -1)
 
@@ -58,43 +61,222 @@ def _read(vectors: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def _blocks(index: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The index in pieces of at most ``rows`` vectors, one held at a time."""
-    ids, vecs = [], []
-    for r in index.toLocalIterator(prefetchPartitions=False):
-        ids.append(r["id"])
-        vecs.append(r["v"])
-        if len(ids) == rows:
-            yield np.array(ids, np.int64), np.array(vecs, float)
-            ids, vecs = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(vecs, float)
-
-
-def _pass(queries: DataFrame, block: tuple[np.ndarray, np.ndarray], metric: str, pick, name: str) -> DataFrame:
-    """Stream the queries past one block; ``pick`` chooses rows of the block from raw scores."""
-    held = queries.sparkSession.sparkContext.broadcast(block)
-
-    def work(batches):
-        ids, x = held.value
-        if metric == "cosine":
-            x = _unit(x)
+    """The index in pieces of at most ``rows`` vectors, one held at a time; rows travel packed as bytes."""
+
+    def pack(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            q, qid = _matrix(b.column(1), b.num_rows), np.asarray(b.column(0))
-            if metric == "cosine":
-                q = _unit(q)
-            for at in range(0, len(q), 256):
-                raw = scores(metric, q[at : at + 256], x)
-                out_q, out_n, out_s = [], [], []
-                for i, row in enumerate(raw):
-                    near, value = pick(row, q[at + i], x, ids, qid[at + i])
-                    out_q.append(np.full(len(near), qid[at + i]))
-                    out_n.append(ids[near])
-                    out_s.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_n, out_s)], ["q", "n", "score"])
-
-    return materialize(queries.mapInArrow(work, "q long, n long, score double"), name)
+            ids, x = np.asarray(b.column(0)), _matrix(b.column(1), b.num_rows)
+            step = max(1, PACK_BYTES // (8 * x.shape[1]))
+            for at in range(0, len(ids), step):
+                yield pa.RecordBatch.from_arrays([pa.array([c[at : at + step].tobytes()], pa.binary()) for c in (ids, x)], ["ids", "x"])
+
+    ids, vecs, held = [], [], 0
+    for r in index.mapInArrow(pack, "ids binary, x binary").toLocalIterator(prefetchPartitions=False):
+        new = np.frombuffer(bytes(r["ids"]), np.int64)
+        ids.append(new)
+        vecs.append(np.frombuffer(bytes(r["x"]), float).reshape(len(new), -1))
+        held += len(new)
+        if held >= rows:
+            i, x = np.concatenate(ids), np.concatenate(vecs)
+            full = held - held % rows
+            for at in range(0, full, rows):
+                yield i[at : at + rows], x[at : at + rows]
+            ids, vecs, held = [i[full:]], [x[full:]], held - full
+    if held:
+        yield np.concatenate(ids), np.concatenate(vecs)
+
+
+def _copies(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How many rows of smaller id (of equal ids, earlier ones) have the very same vector."""
+    bits = np.ascontiguousarray(x).view(np.uint64)
+    with np.errstate(over="ignore"):
+        h = (bits * np.random.default_rng(1).integers(1 << 62, size=bits.shape[1], dtype=np.uint64) ^ (bits >> np.uint64(29))).sum(axis=1)
+    order = np.lexsort((ids, h))
+    new = np.ones(len(ids), bool)
+    new[1:] = (bits[order[1:]] != bits[order[:-1]]).any(axis=1)
+    starts = np.flatnonzero(new)
+    out = np.empty(len(ids), int)
+    out[order] = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids))))
+    return out
+
+
+class _Near:
+    """Pairs of a chunk of queries and a block that can be near enough, from matrix products in small tiles.
+
+    Values are smaller for nearer rows: -q.x, or for l2 (|x|^2 / 2 - q.x), of rows around the block's mean. They are
+    taken in single precision with a bound of its error, and anew in double precision where that bound lets
+    too much through. ``sign`` -1 looks for the furthest.
+    """
+
+    def __init__(self, metric: str, x: np.ndarray, sign: int = 1):
+        self.metric, self.x, self.sign, self.d = metric, x, sign, x.shape[1]
+        whole = np.isfinite(x).all(axis=1)
+        self.mean = x[whole].mean(axis=0) if whole.any() else np.zeros(self.d)
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.centred = (x - self.mean).astype(np.float32)
+            n2 = ((x - self.mean) ** 2).sum(axis=1)
+            self.half = n2 / 2
+            self.reach, self.norm = float(np.sqrt(n2[whole].max(initial=0.0))), float(np.sqrt((x[whole] ** 2).sum(axis=1).max(initial=0.0)))
+
+    def chunk(self, q: np.ndarray) -> None:
+        """Take these queries."""
+        self.q = q - self.mean if self.metric == "l2" else q
+        n, full = np.sqrt((self.q**2).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            scale = (n + self.reach) * self.reach if self.metric == "l2" else n * self.reach
+            self.e64 = 1e-9 * ((full + self.norm) ** 2 if self.metric == "l2" else full * self.norm) + (1e-14 if self.metric == "exp_neg_dot" else 0.0)
+            if self.metric == "l2":  # of centred rows, so that a common offset widens nothing
+                self.e64 = 1e-9 * (n + self.reach) ** 2
+            self.e32 = (self.d + 8) * 2.0**-23 * scale + self.d * 1e-44 + self.e64
+            self.single = bool((scale[np.isfinite(scale)] < 1e30).all()) and self.reach < 1e18
+            self.q32 = self.q.astype(np.float32)
+
+    def _tile(self, rows, at: slice, single: bool) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            if single:
+                v = self.q32[rows] @ self.centred[at].T
+                half = self.half[at].astype(np.float32)
+            else:
+                v = self.q[rows] @ (self.x[at] - self.mean).T
+                half = self.half[at]
+            if self.metric == "l2":
+                np.subtract(half, v, out=v)
+            else:
+                np.negative(v, out=v)
+            return np.negative(v, out=v) if self.sign < 0 else v
+
+    def under(self, rows, at: slice, bound: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) whose value may be at most ``bound``, one a query; with ``k``, the bounds are lowered first to the tile's k-th best."""
+        n, width = len(bound), at.stop - at.start
+        found = None
+        for single in (True, False) if self.single else (False,):
+            e = (self.e32 if single else self.e64)[rows]
+            v = self._tile(rows, at, single)
+            limit = bound + e
+            open_ = ~(v > (limit.astype(np.float32) + np.abs(limit).astype(np.float32) * np.float32(2.0**-22) if single else limit)[:, None])
+            if k is not None and width > k and np.count_nonzero(open_) > 4 * k * n:
+                kth = np.partition(v, k - 1, axis=1)[:, k - 1].astype(float)
+                np.copyto(bound, np.minimum(bound, kth + e), where=~np.isnan(kth))
+                limit = bound + e
+                open_ = ~(v > (limit.astype(np.float32) + np.abs(limit).astype(np.float32) * np.float32(2.0**-22) if single else limit)[:, None])
+            found = open_
+            if not single or np.count_nonzero(open_) <= 16 * (k or width) * n:
+                break
+        i, j = np.divmod(np.flatnonzero(found.ravel()), width)
+        return i, j + at.start
+
+
+def _scored(metric: str, q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Scores of pairs of rows, as ``exact`` gives them."""
+    return np.concatenate([np.empty(0)] + [exact(metric, q[i[a : a + PAIRS]], x[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)])
+
+
+def _first_k(i: np.ndarray, j: np.ndarray, s: np.ndarray, k: int, down: bool, other: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Positions of the k best pairs of each query i; the self first among equals, then smaller ids; NaN above all numbers."""
+    key = np.where(np.isnan(s), -np.inf if down else np.inf, -s if down else s)
+    order = np.lexsort((ids, other, key, i))
+    starts = np.flatnonzero(np.diff(i[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return order[place < k]
+
+
+def _rows_out(i: list, qid: np.ndarray, n: list, s: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(qid[np.concatenate(i)], pa.int64()), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(s), pa.float64())], ["q", "n", "score"])
+
+
+def _best_rows(metric: str, k: int, sign: int, include_self: bool, block: tuple, centres: np.ndarray | None, batches) -> Iterator[pa.RecordBatch]:
+    """q, n, score: the k best of a block for each query of the batches. With centres, only in the cells a query asks for.
+
+    A block is (ids, vectors, cells, and these three of spare copies): of equal vectors k + 1 are enough, and a
+    spare one counts only for the query of its own id.
+    """
+    ids, x, cells, spare_ids, spare_x, spare_cells = block
+    down = METRICS[metric] != (sign < 0)
+    near = _Near(metric, x, sign)
+    beam = None
+    if centres is None:
+        edges = [0, len(ids)]
+    else:
+        centres, beam = centres
+        edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(ids)] if len(ids) else [0, 0]
+    tiles = [slice(t, min(t + TILE, z)) for a, z in zip(edges, edges[1:], strict=False) for t in range(a, z, TILE)]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        every, every_id = _matrix(b.column(1), b.num_rows), np.asarray(b.column(0))
+        if metric == "cosine":
+            every = _unit(every)
+        for at in range(0, len(every), CHUNK):
+            q, qid = every[at : at + CHUNK], every_id[at : at + CHUNK]
+            asks = None
+            if beam is not None:
+                asks = np.zeros((len(q), len(centres)), bool)
+                np.put_along_axis(asks, np.argsort(scores("l2", q, centres), axis=1, kind="stable")[:, :beam], True, axis=1)
+            near.chunk(q)
+            bound = np.full(len(q), np.inf)
+            kept = np.empty(0, int), np.empty(0, int), np.empty(0)
+            new, waiting = [], 0
+
+            def settle(kept, new, q=q, qid=qid):
+                i, j = (np.concatenate(c) for c in zip(*new, strict=True))
+                i, j, s = np.concatenate([kept[0], i]), np.concatenate([kept[1], j]), np.concatenate([kept[2], _scored(metric, q, x, i, j)])
+                best = _first_k(i, j, s, k, down, ids[j] != qid[i], ids[j])
+                return i[best], j[best], s[best]
+
+            for tile in tiles:
+                rows = slice(None) if asks is None else np.flatnonzero(asks[:, cells[tile.start]])
+                held = bound[rows].copy()
+                # Without the self, whose row may be among the tile's k best, one more is needed.
+                i, j = near.under(rows, tile, held, k if include_self else k + 1)
+                bound[rows] = held
+                i = i if asks is None else rows[i]
+                if not include_self:
+                    i, j = i[ids[j] != qid[i]], j[ids[j] != qid[i]]
+                new.append((i, j))
+                waiting += len(i)
+                if waiting > PAIRS:
+                    kept, new, waiting = settle(kept, new), [], 0
+            i, j, s = settle(kept, new) if new else kept
+            n = ids[j]
+            if include_self and len(spare_ids):
+                lo, count = np.searchsorted(spare_ids, qid), np.searchsorted(spare_ids, qid, "right") - np.searchsorted(spare_ids, qid)
+                own = np.repeat(np.arange(len(q)), count)
+                row = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + lo[own]
+                if asks is not None:
+                    own, row = own[asks[own, spare_cells[row]]], row[asks[own, spare_cells[row]]]
+                i, n, s = np.concatenate([i, own]), np.concatenate([n, spare_ids[row]]), np.concatenate([s, _scored(metric, q, spare_x, own, row)])
+                best = _first_k(i, n, s, k, down, n != qid[i], n)
+                i, n, s = i[best], n[best], s[best]
+            yield _rows_out([i], qid, [n], [s])
+
+
+def _searched(side: DataFrame, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: str, sign: int, include_self: bool, centres: np.ndarray | None = None, beam: int = 0) -> DataFrame | None:
+    """The k best of each block for each query, ranked together; None without blocks."""
+    spark, found = side.sparkSession, []
+    for ids, x in blocks:
+        if len(found) == 1:
+            side = materialize(side, "queries")  # read again for each block
+        if metric == "cosine":
+            x = _unit(x)
+        cells = np.zeros(len(ids), np.int32) if centres is None else scores("l2", x, centres).argmin(axis=1).astype(np.int32)
+        spare = _copies(ids, x) > k
+        order, rest = np.flatnonzero(~spare), np.flatnonzero(spare)
+        order, rest = order[np.argsort(cells[order], kind="stable")], rest[np.argsort(ids[rest], kind="stable")]
+        held = spark.sparkContext.broadcast((ids[order], x[order], cells[order], ids[rest], x[rest], cells[rest]))
+
+        def work(batches, held=held):
+            yield from _best_rows(metric, k, sign, include_self, held.value, None if centres is None else (centres, beam), batches)
+
+        found.append(materialize(side.mapInArrow(work, "q long, n long, score double"), "knn"))
+        held.destroy()
+    if not found:
+        return None
+    out = found[0]
+    for p in found[1:]:
+        out = out.unionByName(p)
+    return top_k(out, k, METRICS[metric] != (sign < 0))
 
 
 def _spread(queries: DataFrame) -> DataFrame:
@@ -115,29 +297,13 @@ def knn(
         raise ValueError(f"metric is one of {sorted(METRICS)}")
     if k < 1:
         raise ValueError("k is at least 1")
-    down = METRICS[metric] != furthest
     d, dq = vx.check_dimensions(index, index_vec or vec), vx.check_dimensions(queries, vec)
     if d and dq and dq != d:
         raise ValueError(f"queries have {dq} components, the index has {d}")
     side = _spread(_read(queries, key, vec))
 
-    def pick(raw, q, x, ids, qid):
-        open_ = np.arange(len(ids)) if include_self else np.flatnonzero(ids != qid)
-        value = raw[open_] if not down else -raw[open_]
-        if len(open_) > k:
-            limit = np.partition(value, k - 1)[k - 1]
-            open_ = open_[value <= limit + _slack(raw)]
-        s = exact(metric, q, x[open_])
-        best = np.lexsort((ids[open_], ids[open_] != qid, -s if down else s))[:k]
-        return open_[best], s[best]
-
-    parts = [_pass(side, block, metric, pick, "knn") for block in _blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * max(d, 1))))]
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "q long, n long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_k(found, k, down)
+    found = _searched(side, _blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * max(d, 1)))), k, metric, -1 if furthest else 1, include_self)
+    return queries.sparkSession.createDataFrame([], "q long, n long, score double, rank int") if found is None else found
 
 
 def top_k(found: DataFrame, k: int, down: bool) -> DataFrame:
@@ -156,26 +322,46 @@ def furthest(queries: DataFrame, index: DataFrame, metric: str = "l2", **kw) ->
 
 def range_join(queries: DataFrame, index: DataFrame, r: float, metric: str = "l2", key: str = "vec_id", vec: str = "embedding", index_vec: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """q, n, score for all pairs with distance strictly under r (similarity strictly over r)."""
-    down = METRICS[metric]
     d = max(vx.check_dimensions(index, index_vec or vec), 1)
+    out = queries.sparkSession.createDataFrame([], "q long, n long, score double")
+    if metric in ("l2", "exp_neg_dot") and r <= 0:
+        return out
     side = _spread(_read(queries, key, vec))
-    raw_limit = r * r if metric == "l2" else np.log(r) if metric == "exp_neg_dot" and r > 0 else r
+    for n, (ids, x) in enumerate(_blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * d)))):
+        if n == 1:
+            side = materialize(side, "queries")  # read again for each block
+        held = queries.sparkSession.sparkContext.broadcast((ids, _unit(x) if metric == "cosine" else x))
 
-    def pick(raw, q, x, ids, qid):
-        if metric in ("l2", "exp_neg_dot") and r <= 0:
-            return np.empty(0, int), np.empty(0)
-        near = np.flatnonzero(raw > raw_limit - _slack(raw) if down else raw < raw_limit + _slack(raw))
-        s = exact(metric, q, x[near])
-        keep = s > r if down else s < r
-        return near[keep], s[keep]
+        def work(batches, held=held):
+            yield from _range_rows(metric, r, *held.value, batches)
 
-    parts = [_pass(side, block, metric, pick, "range") for block in _blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * d)))]
-    out = queries.sparkSession.createDataFrame([], "q long, n long, score double")
-    for p in parts:
-        out = out.unionByName(p)
+        out = out.unionByName(side.mapInArrow(work, "q long, n long, score double"))
     return out
 
 
+def _range_rows(metric: str, r: float, ids: np.ndarray, x: np.ndarray, batches) -> Iterator[pa.RecordBatch]:
+    near = _Near(metric, x)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        every, every_id = _matrix(b.column(1), b.num_rows), np.asarray(b.column(0))
+        if metric == "cosine":
+            every = _unit(every)
+        for at in range(0, len(every), CHUNK):
+            q, qid = every[at : at + CHUNK], every_id[at : at + CHUNK]
+            near.chunk(q)
+            if metric == "l2":
+                limit = (r * r - (near.q**2).sum(axis=1)) / 2
+            else:
+                limit = (np.log(r) if metric == "exp_neg_dot" else -r) + q @ near.mean
+            for tile in range(0, len(ids), TILE):
+                i, j = near.under(slice(None), slice(tile, min(tile + TILE, len(ids))), limit)
+                s = _scored(metric, q, x, i, j)
+                keep = s > r if METRICS[metric] else s < r
+                if keep.any():
+                    yield _rows_out([i[keep]], qid, [ids[j[keep]]], [s[keep]])
+
+
 SCORE = {"l2": vx.l2, "dot": vx.dot, "cosine": vx.cosine, "exp_neg_dot": vx.exp_neg_dot}
 
 
@@ -214,27 +400,12 @@ def sample_centres(index: DataFrame, cells: int, key: str, vec: str, rounds: int
     return centres
 
 
-def assign_cells(vectors: DataFrame, centres: np.ndarray, probe: int, metric: str = "l2") -> DataFrame:
-    """(id, v) exploded to its ``probe`` nearest cells: id, v, cell."""
-    held = vectors.sparkSession.sparkContext.broadcast(centres)
-
-    def work(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(1), b.num_rows)
-            raw = scores("l2", _unit(x) if metric == "cosine" else x, held.value)
-            cell = np.argsort(raw, axis=1, kind="stable")[:, :probe].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(cell), pa.list_(pa.int32()))], ["id", "v", "cells"])
-
-    return vectors.mapInArrow(work, "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell"))
-
-
 def knn_cells(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", cells: int = 64, beam: int = 8, key: str = "vec_id", vec: str = "embedding", include_self: bool = True, index_vec: str | None = None) -> DataFrame:
     """Approximate kNN: the index (its ``index_vec``, if that differs) is dealt to cells, a query looks into its
     ``beam`` nearest cells.
 
-    An equi-join on the cell, so that Spark can split a large cell; scores are exact for what is seen.
+    Blocks of the index are sorted by cell, and a query meets those rows of a block that lie in its cells, by
+    matrix products as in ``knn``; scores are exact for what is seen.
     For inner products, and dissimilarities that fall with them, vectors are first lengthened to one norm.
     """
     left, right = _read(queries, key, vec), _read(index, key, index_vec or vec)
@@ -245,12 +416,8 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "
     centres = sample_centres(right, cells, "id", "v", metric=metric)
     if not len(centres):
         return queries.sparkSession.createDataFrame([], "q long, n long, score double, rank int")
-    posted = assign_cells(right, centres, 1, metric).select(F.col("id").alias("n"), F.col("v").alias("x"), "cell")
-    asked = assign_cells(left, centres, beam, metric).select(F.col("id").alias("q"), F.col("v").alias("y"), "cell")
-    pairs = asked.join(posted, "cell")
-    if not include_self:
-        pairs = pairs.where("q <> n")
-    return top_k(pairs.select("q", "n", SCORE[metric]("y", "x").alias("score")), k, METRICS[metric])
+    blocks = _blocks(right, max(1, BLOCK_BYTES // (8 * centres.shape[1])))
+    return _searched(_spread(left), blocks, k, metric, 1, include_self, centres, beam)
 
 
 def coarse_cells(queries: DataFrame, tree: DataFrame, level: int, k: int, beam: int, metric: str = "exp_neg_dot", key: str = "vec_id", vec: str = "embedding") -> DataFrame:

@@ -174,7 +174,7 @@ def test_search_memory_is_of_a_tile():
     assert sum(b.num_rows for b in found) == 3000 and peak < 60e6  # 256 x 30,000 doubles, three times, were 184 MB
 
 
-@pytest.mark.parametrize("search", [lambda df: knn.knn_cells(df, df, 3, "l2", cells=5, beam=3)])
+@pytest.mark.parametrize("search", [lambda df: knn.knn_sql(df, df, 3, "l2"), lambda df: knn.knn_cells(df, df, 3, "l2", cells=5, beam=3)])
 def test_no_plan_joins_all_pairs(spark, blobs, search):
     plan = search(blobs[1])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "cell#" not in plan

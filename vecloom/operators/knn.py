@@ -1,4 +1,4 @@
-"""Nearest-neighbour joins: exact in blocks, in plain SQL for small inputs, and approximate by cells.
+"""Nearest-neighbour joins: exact in blocks, these scored and ranked by SQL, and approximate by cells.
 
 The exact kernel keeps one side in bounded broadcast blocks and streams the other through Arrow batches:
 matrix products in small tiles find who can be among the k best, and these few are ranked by the score
@@ -366,22 +366,13 @@ SCORE = {"l2": vx.l2, "dot": vx.dot, "cosine": vx.cosine, "exp_neg_dot": vx.exp_
 
 
 def knn_sql(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "l2", key: str = "vec_id", vec: str = "embedding", include_self: bool = True, limit: int = 20_000) -> DataFrame:
-    """The same as ``knn`` as one declarative plan for each block of about ``limit`` index rows, whose k best are merged."""
-    right = index.select(F.col(key).alias("n"), F.col(vec).alias("_x"))
-    left = queries.select(F.col(key).alias("q"), F.col(vec).alias("_y"))
-    blocks = max(1, -(-right.count() // limit))
-    parts = []
-    for b in range(blocks):
-        block = right if blocks == 1 else right.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b)
-        pairs = left.join(F.broadcast(block), F.lit(True) if include_self else F.col("q") != F.col("n"))
-        best = top_k(pairs.select("q", "n", SCORE[metric]("_y", "_x").alias("score")), k, METRICS[metric])
-        parts.append(best if blocks == 1 else materialize(best, "knn-sql"))
-    if blocks == 1:
-        return parts[0]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return top_k(found, k, METRICS[metric])
+    """The same as ``knn``, scored and ranked by SQL expressions: one declarative plan over the pairs that matrix
+    products in blocks of about ``limit`` index rows let through, k a query and block."""
+    d = max(vx.check_dimensions(index, vec), 1)
+    near = knn(queries, index, k, metric, key, vec, include_self=include_self, block_bytes=limit * 8 * d).select("q", "n").distinct()
+    left = queries.select(F.col(key).cast("long").alias("q"), F.col(vec).alias("_y"))
+    right = index.select(F.col(key).cast("long").alias("n"), F.col(vec).alias("_x"))
+    return top_k(near.join(left, "q").join(right, "n").select("q", "n", SCORE[metric]("_y", "_x").alias("score")), k, METRICS[metric])
 
 
 def sample_centres(index: DataFrame, cells: int, key: str, vec: str, rounds: int = 4, sample: int = 20_000, metric: str = "l2") -> np.ndarray:

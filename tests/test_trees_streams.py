@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,29 @@ def test_similarity_sample_law(spark):
     assert all(r["prob"] == pytest.approx(p[r["n"]]) for r in rows)
 
 
+def test_similarity_sample_over_strata(spark):
+    """The law holds over several strata and blocks, no hash is taken for each row, and the partitioning decides nothing."""
+    x = np.random.default_rng(3).normal(size=(2500, 2)).astype(np.float32)
+    index, q = from_matrix(spark, x), from_matrix(spark, np.array([[0.5, -1.0]]))
+    hashed = []
+    keep, sampling._hash01 = sampling._hash01, lambda seed, qid, n, draw: hashed.append(np.size(n)) or keep(seed, qid, n, draw)
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([[0.5, -1.0]])], ["id", "v"])
+        list(sampling._drawn(4, 5, 0, np.arange(2500), x.astype(float), [batch]))
+    finally:
+        sampling._hash01 = keep
+    assert sum(hashed) < 100
+    rows = sampling.similarity_sample(q, index, 4000, seed=5, block_bytes=8 * 2 * 2048).collect()
+    again = sampling.similarity_sample(q, index.repartition(7), 4000, seed=5, block_bytes=8 * 2 * 2048).collect()
+    assert sorted((r["draw"], r["n"]) for r in rows) == sorted((r["draw"], r["n"]) for r in again)
+    p = np.exp(x.astype(float) @ np.array([0.5, -1.0]))
+    p /= p.sum()
+    assert all(r["prob"] == pytest.approx(p[r["n"]]) for r in rows)
+    part = np.argsort(np.argsort(-p)) * 10 // len(p)  # tenths of the rows by probability
+    got, want = np.bincount(part[[r["n"] for r in rows]], minlength=10), 4000 * np.bincount(part, p)
+    assert ((got - want) ** 2 / want).sum() < 27.9  # 0.001 of chi-square with nine degrees
+
+
 def test_random_descendant_is_uniform(spark):
     rows = [(0, None, 3, 0.0, [0.0])] + [(i, 0, 2, 1.0, [1.0]) for i in range(1, 5)]
     t = spark.createDataFrame(rows, tree.TREE)

@@ -1,6 +1,6 @@
 """Sampling of neighbours by similarity, seeded: equal seeds give equal samples.
 
-Uniform numbers are hashes of (seed, query, candidate, draw), so no sample depends on how rows are
+Uniform numbers are hashes of (seed, query, what may be drawn, draw), so no sample depends on how rows are
 partitioned or on which task runs again.
 """
 
@@ -19,46 +19,77 @@ def uniform(seed: int, *cols: Column | str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
 
 
-def _hash01(seed: int, q: int, n: np.ndarray, draw: int) -> np.ndarray:
-    rng = np.uint64((seed * 1_000_003 + q * 7_919 + draw * 104_729) & (2**64 - 1))
+def _hash01(seed: int, q: np.ndarray, n: np.ndarray, draw: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) of a seed, ids of queries, ids of what is drawn (as arrays broadcast) and a draw."""
     with np.errstate(over="ignore"):
-        x = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rng * np.uint64(0xD1B54A32D192ED03)
+        rng = np.asarray(q).astype(np.uint64) * np.uint64(7_919) + np.uint64((seed * 1_000_003 + draw * 104_729) & (2**64 - 1))
+        x = np.asarray(n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + rng * np.uint64(0xD1B54A32D192ED03)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53) + 2.0**-54
 
 
+#: Rows of the index, in order of ids, among which one draw is decided by one number.
+STRATUM = 1024
+
+
+def _drawn(draws: int, seed: int, first: int, ids: np.ndarray, x: np.ndarray, batches):
+    """q, draw, n, g, s, total: of a block, each draw's stratum of the largest perturbed log-sum and the row drawn from it."""
+    starts = np.arange(0, len(ids), STRATUM)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        every, every_id = knn._matrix(b.column(1), b.num_rows), np.asarray(b.column(0))
+        for at in range(0, len(every), 128):
+            q, qid = every[at : at + 128], every_id[at : at + 128]
+            logs = np.empty((len(q), len(starts)))
+            for tile in range(0, len(starts), 8):
+                s = q @ x[tile * STRATUM : (tile + 8) * STRATUM].T
+                top = s.max(axis=1, keepdims=True)
+                np.exp(np.subtract(s, top, out=s), out=s)
+                with np.errstate(divide="ignore"):
+                    logs[:, tile : tile + 8] = np.log(np.add.reduceat(s, np.arange(0, s.shape[1], STRATUM), axis=1)) + top
+            peak = logs.max(axis=1)
+            total = peak + np.log(np.exp(logs - peak[:, None]).sum(axis=1))
+            g = np.stack([logs - np.log(-np.log(_hash01(seed, qid[:, None], first + np.arange(len(starts)), draw))) for draw in range(draws)], axis=1)
+            won = g.argmax(axis=2)
+            row, sim = np.empty(won.shape, int), np.empty(won.shape)
+            u = np.stack([_hash01(seed + 0x5851F42D, qid, first + won[:, draw], draw) for draw in range(draws)], axis=1)
+            for stratum in np.unique(won):
+                i, draw = np.nonzero(won == stratum)
+                part = x[starts[stratum] : starts[stratum] + STRATUM]
+                s = q[i] @ part.T
+                heap = np.exp(s - s.max(axis=1, keepdims=True)).cumsum(axis=1)
+                j = np.minimum((heap <= (u[i, draw] * heap[:, -1])[:, None]).sum(axis=1), len(part) - 1)
+                row[i, draw], sim[i, draw] = starts[stratum] + j, s[np.arange(len(i)), j]
+            best = np.take_along_axis(g, won[:, :, None], axis=2)[:, :, 0]
+            cols = np.repeat(qid, draws), np.tile(np.arange(draws, dtype=np.int32), len(q)), ids[row].ravel(), best.ravel(), sim.ravel(), np.repeat(total, draws)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["q", "draw", "n", "g", "s", "total"])
+
+
 def similarity_sample(queries: DataFrame, index: DataFrame, draws: int, seed: int = 0, key: str = "vec_id", vec: str = "embedding", index_vec: str = "embedding", block_bytes: int = knn.BLOCK_BYTES) -> DataFrame:
     """q, draw, n, prob: ``draws`` independent samples with probability proportional to exp(dot).
 
-    Gumbel-max, once a draw: over blocks of the index only the largest perturbed score of a draw is
-    kept, and log-sum-exp of the blocks gives the probability of what was drawn.
+    Gumbel-max over strata of ``STRATUM`` rows in order of ids: a stratum's log-sum-exp is perturbed once a draw,
+    the largest wins, and one more number picks a row in it by its share of the sum. Only the winner of each
+    block is kept, and log-sum-exp of the blocks gives the probability of what was drawn.
     """
     side = knn._spread(knn._read(queries, key, vec))
     d = knn.vx.check_dimensions(index, index_vec) or 1
-    found = None
-    for block in knn._blocks(knn._read(index, key, index_vec), max(1, block_bytes // (8 * d))):
-        held = queries.sparkSession.sparkContext.broadcast(block)
+    rows = max(1, block_bytes // (8 * d))
+    rows -= rows % STRATUM if rows > STRATUM else 0
+    found, first = None, 0
+    for ids, x in knn._blocks(knn._read(index, key, index_vec).orderBy("id"), rows):
+        if first and found is not None and not hasattr(side, "_stored_at"):
+            side = knn.materialize(side, "queries")  # read again for each block
+        held = queries.sparkSession.sparkContext.broadcast((first, ids, x))
 
         def work(batches, held=held):
-            ids, x = held.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                q, rows = knn._matrix(b.column(1), b.num_rows), []
-                for qid, v in zip(b.column(0).to_pylist(), q, strict=True):
-                    s = x @ v
-                    top = s.max()
-                    total = float(top + np.log(np.exp(s - top).sum()))
-                    for draw in range(draws):
-                        g = s - np.log(-np.log(_hash01(seed, qid, ids, draw)))
-                        j = int(g.argmax())
-                        rows.append((qid, draw, int(ids[j]), float(g[j]), float(s[j]), total))
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["q", "draw", "n", "g", "s", "total"])
+            yield from _drawn(draws, seed, *held.value, batches)
 
         part = knn.materialize(side.mapInArrow(work, "q long, draw int, n long, g double, s double, total double"), "sample")
+        held.destroy()
+        first += -(-len(ids) // STRATUM)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return queries.sparkSession.createDataFrame([], "q long, draw int, n long, prob double")

@@ -150,6 +150,24 @@ def test_cluster_and_chain_samples(spark, grown):
     assert sorted(map(tuple, chain.collect())) == sorted(map(tuple, sampling.chain_sample(q, t, 3, level, chains=2, length=3).collect()))
 
 
+def test_repeats_share_the_search_and_the_closure(spark, grown, monkeypatch):
+    """One search of heads and one closure for all repeats or steps; each repeat is what its own seed gives alone."""
+    _, v, t = grown
+    level = t.agg(F.max("level")).first()[0] - 2
+    q = v.where("vec_id < 5")
+    alone = [(r["q"], i, r["n"], r["dist"], r["rank"]) for i in range(3) for r in sampling.cluster_sample(q, t, 3, level, seed=4 + i).collect()]
+    asked = []
+    monkeypatch.setattr(sampling.knn, "knn", lambda *a, f=sampling.knn.knn, **kw: asked.append("search") or f(*a, **kw))
+    monkeypatch.setattr(tree, "closure", lambda t, f=tree.closure: asked.append("closure") or f(t))
+    rows = sampling.repeated_cluster_sample(q, t, 3, level, repeats=3, seed=4).collect()
+    assert sorted(asked) == ["closure", "search"]
+    assert sorted(map(tuple, rows)) == sorted(alone)
+    sampling.chain_sample(q, t, 3, level, chains=2, length=3).collect()
+    assert asked.count("closure") == 2
+    with pytest.raises(ValueError):
+        sampling.repeated_cluster_sample(q, t, 3, level, repeats=0)
+
+
 def test_stream_of_vectors(spark, tmp_path):
     x = np.random.default_rng(9).normal(size=(24, 6))
     v = from_matrix(spark, x)

@@ -98,11 +98,20 @@ def similarity_sample(queries: DataFrame, index: DataFrame, draws: int, seed: in
     return peak.select("q", "draw", F.col("m.n").alias("n"), F.exp(F.col("m.s") - log_sum).alias("prob"))
 
 
+def random_descendants(tree: DataFrame, seeds: list[int]) -> DataFrame:
+    """uid, draw, descendant: for each seed, in order from draw 0, one of each node's descendants (itself among them), uniformly.
+
+    All draws share one closure of the tree and one pass over it.
+    """
+    pairs = trees.closure(tree)
+    drawn = [F.min_by("uid", F.struct(uniform(seed, "ancestor", "uid"), "uid")) for seed in seeds]
+    one = pairs.groupBy(F.col("ancestor").alias("uid")).agg(F.array(*drawn).alias("_drawn"))
+    return one.select("uid", F.posexplode("_drawn").alias("draw", "descendant"))
+
+
 def random_descendant(tree: DataFrame, seed: int = 0) -> DataFrame:
     """uid, descendant: one of each node's descendants (itself among them), uniformly."""
-    pairs = trees.closure(tree)
-    w = pairs.withColumn("_u", uniform(seed, "ancestor", "uid"))
-    return w.groupBy(F.col("ancestor").alias("uid")).agg(F.min_by("uid", F.struct("_u", "uid")).alias("descendant"))
+    return random_descendants(tree, [seed]).select("uid", "descendant")
 
 
 def coarse_heads(queries: DataFrame, tree: DataFrame, k: int, level: int, beam: int) -> DataFrame:
@@ -112,22 +121,25 @@ def coarse_heads(queries: DataFrame, tree: DataFrame, k: int, level: int, beam:
 
 def cluster_sample(queries: DataFrame, tree: DataFrame, k: int, level: int, beam: int = 100, seed: int = 0) -> DataFrame:
     """q, n, dist, rank: heads of the k nearest coarse cells with random descendants of them, distinct, the k nearest."""
-    heads = coarse_heads(queries, tree, k, level, beam).select("q", "n")
-    drawn = heads.join(random_descendant(tree, seed).withColumnRenamed("uid", "n"), "n").select("q", F.col("descendant").alias("n"))
-    both = heads.unionByName(drawn).distinct()
-    qv = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("_q"))
-    nv = tree.select(F.col("uid").alias("n"), F.col("embedding").alias("_n"))
-    scored = both.join(qv, "q").join(nv, "n").select("q", "n", knn.score_column("exp_neg_dot", "_n", "_q").alias("dist"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "n"))).where(F.col("rank") <= k)
+    return repeated_cluster_sample(queries, tree, k, level, beam, 1, seed).drop("repeat")
 
 
 def repeated_cluster_sample(queries: DataFrame, tree: DataFrame, k: int, level: int, beam: int = 100, repeats: int = 2, seed: int = 0) -> DataFrame:
-    """q, repeat, n, dist, rank: ``cluster_sample`` with seeds seed, seed + 1, ... side by side."""
-    out = None
-    for r in range(repeats):
-        one = cluster_sample(queries, tree, k, level, beam, seed + r).withColumn("repeat", F.lit(r))
-        out = one if out is None else out.unionByName(one)
-    return out.select("q", "repeat", "n", "dist", "rank")
+    """q, repeat, n, dist, rank: ``cluster_sample`` with seeds seed, seed + 1, ... side by side.
+
+    Neither the nearest heads nor the closure of the tree depend on the seed: each is found once for all repeats.
+    """
+    if repeats < 1:
+        raise ValueError("repeats is at least 1")
+    heads = knn.materialize(coarse_heads(queries, tree, k, level, beam).select("q", "n"), "heads")
+    drawn = random_descendants(tree, [seed + r for r in range(repeats)]).select(F.col("uid").alias("n"), F.col("draw").alias("repeat"), "descendant")
+    drawn = heads.join(drawn, "n").select("q", "repeat", F.col("descendant").alias("n"))
+    both = heads.select("q", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"), "n").unionByName(drawn).distinct()
+    qv = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("_q"))
+    nv = tree.select(F.col("uid").alias("n"), F.col("embedding").alias("_n"))
+    scored = both.join(qv, "q").join(nv, "n").select("q", "repeat", "n", knn.score_column("exp_neg_dot", "_n", "_q").alias("dist"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q", "repeat").orderBy("dist", "n")))
+    return ranked.where(F.col("rank") <= k).select("q", "repeat", "n", "dist", "rank")
 
 
 def chain_sample(queries: DataFrame, tree: DataFrame, k: int, level: int, beam: int = 100, chains: int = 1, length: int = 10, seed: int = 0) -> DataFrame:
@@ -139,10 +151,8 @@ def chain_sample(queries: DataFrame, tree: DataFrame, k: int, level: int, beam:
     heads = coarse_heads(queries, tree, k, level, beam).select("q", "n")
     qv = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("_q"))
     nv = tree.select(F.col("uid").alias("n"), F.col("embedding").alias("_n"))
-    drawn = None
-    for step in range(length + 1):
-        one = heads.join(random_descendant(tree, seed + step).withColumnRenamed("uid", "n"), "n").select("q", F.lit(step).alias("step"), "n", F.col("descendant"))
-        drawn = one if drawn is None else drawn.unionByName(one)
+    drawn = random_descendants(tree, [seed + step for step in range(length + 1)]).select(F.col("uid").alias("n"), F.col("draw").alias("step"), "descendant")
+    drawn = heads.join(drawn, "n")
     every = drawn.select("q", "step", F.col("n").alias("head"), F.col("descendant").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
     pick = every.groupBy("q", "chain", "step").agg(F.min_by("n", F.struct(uniform(seed, "q", "chain", "step", "head"), "head")).alias("n"))
     scored = pick.join(qv, "q").join(nv, "n").select("q", "chain", "step", "n", knn.score_column("exp_neg_dot", "_n", "_q").alias("dist"), uniform(seed + 1, "q", "chain", "step").alias("u"))

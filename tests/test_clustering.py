@@ -105,6 +105,20 @@ def test_dag_equals_model(spark, linkage):
     assert ids == list(range(len(ids)))
 
 
+def test_dag_takes_no_step_that_nothing_reads(spark, monkeypatch):
+    """Edges between parents serve the next round only, and members those who ask for them."""
+    steps = []
+    monkeypatch.setattr(dag, "materialize", lambda df, name, f=dag.materialize, **kw: steps.append(name) or f(df, name, **kw))
+    edges = random_edges(7, 24, 60)
+    got = dag.DagClustering(frame(spark, edges), 2, "single").cluster()
+    assert got.structure().where("round = 2").count() == got.parents[1].count() > 0
+    assert steps.count("dag-edges") == 2 and steps.count("dag-parents") == 2 and "dag-members" not in steps
+    top = {(r["point"], r["node"]) for r in got.members[2].collect()}
+    first, second = models.dag(edges, 2, "single")
+    assert top == {(n, q) for n, ps in first.items() for p in ps for q in second[p]}
+    assert len(got.members) == 3 and steps.count("dag-members") == 2
+
+
 def test_dag_rejects(spark):
     e = frame(spark, [(0, 1, 0.5)])
     for bad in ({"linkage": "complete"}, {"max_parents": 0}):

@@ -90,9 +90,17 @@ class DagClustering:
         ends = edges.select(F.col("src").cast("long").alias("node")).union(edges.select(F.col("dst").cast("long"))).distinct()
         self.nodes = materialize(ends, "dag-nodes")
         self.parents: list[DataFrame] = []
-        self.members: list[DataFrame] = [self.nodes.select(F.col("node").alias("point"), "node")]  # (point, node) after each round; the points first
+        self._members: list[DataFrame] = [self.nodes.select(F.col("node").alias("point"), "node")]
         self.active: list[int] = [self.nodes.count()]
 
+    @property
+    def members(self) -> list[DataFrame]:
+        """(point, node) after each round, the points first; found when asked for, as only ``average`` needs them to cluster."""
+        for p in self.parents[len(self._members) - 1 :]:
+            met = self._members[-1].join(p, "node").select("point", F.col("parent").alias("node")).distinct()
+            self._members.append(materialize(met, "dag-members"))
+        return self._members
+
     def one_round(self, edges: DataFrame, nodes: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
         best = graph.best_neighbour(edges, counts if self.linkage == "approx_average" else None, threshold, self.lowest)
         return assign(materialize(propose(nodes, best), "proposed"), self.max_parents)
@@ -100,18 +108,16 @@ class DagClustering:
     def cluster(self) -> DagClustering:
         edges, nodes = self.leaf_edges, self.nodes
         counts = nodes.select("node", F.lit(1).cast("long").alias("n"))
-        member = self.members[0]
         for r in range(self.rounds):
             if self.active[-1] <= 1:
                 break
+            if r:
+                made = contract(edges, parents, self.linkage, self.members[r] if self.linkage == "average" else None, self.leaf_edges)
+                edges = materialize(prune(made, self.max_neighbours), "dag-edges")
             parents = materialize(self.one_round(edges, nodes, counts, self.thresholds[min(r, len(self.thresholds) - 1)]), "dag-parents")
-            member = materialize(member.join(parents, "node").select("point", F.col("parent").alias("node")).distinct(), "dag-members")
-            made = contract(edges, parents, self.linkage, member, self.leaf_edges)
-            edges = materialize(prune(made, self.max_neighbours), "dag-edges")
             counts = materialize(counts.join(parents, "node").groupBy(F.col("parent").alias("node")).agg(F.sum("n").alias("n")), "dag-counts")
             nodes = counts.select("node")
             self.parents.append(parents)
-            self.members.append(member)
             self.active.append(counts.count())
         return self
 

@@ -3,11 +3,13 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as vx
 from vecloom.operators import index, knn
 from vecloom.plans import catalog
+from vecloom.session import read_once
 from vecloom.sources.matrices import from_coo, from_matrix, to_coo
 
 
@@ -174,6 +176,49 @@ def test_search_memory_is_of_a_tile():
     assert sum(b.num_rows for b in found) == 3000 and peak < 60e6  # 256 x 30,000 doubles, three times, were 184 MB
 
 
+def test_a_block_reaches_tasks_in_small_parts(spark, monkeypatch):
+    """No broadcast of a full block, which each worker of an executor would hold."""
+    x = np.random.default_rng(3).normal(size=(20_000, 64)).astype(np.float32)
+    df, sizes, send = from_matrix(spark, x), [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda sc, value: sizes.append(sum(a.nbytes for a in value)) or send(sc, value))
+    few = df.where("vec_id % 2500 = 0")
+    got = {r["q"]: r["n"] for r in knn.knn(few, df, 1, "l2", include_self=False).collect()}
+    assert sum(sizes) > 10e6 and max(sizes) < 5e6
+    d2 = ((x[::2500, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2)
+    d2[np.arange(8), np.arange(0, 20_000, 2500)] = np.inf
+    assert got == dict(zip(range(0, 20_000, 2500), d2.argmin(axis=1).tolist(), strict=True))
+    sizes.clear()
+    assert knn.range_join(few, df, 1e-6).count() == 8 and max(sizes) < 5e6
+
+
+def test_parts_are_not_kept_by_workers(spark):
+    held = spark.sparkContext.broadcast(np.arange(1000))
+
+    def work(batches):
+        for b in batches:
+            total = read_once(held).sum() + read_once(held).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([total] * b.num_rows), pa.array([hasattr(held, "_value")] * b.num_rows)], ["total", "kept"])
+
+    assert set(map(tuple, spark.range(4).mapInArrow(work, "total long, kept boolean").collect())) == {(999_000, False)}
+
+
+def test_searches_agree_in_any_parts(spark, monkeypatch):
+    """Copies beyond k in parts of their own, cells over the edges of parts, ranges."""
+    x = np.random.default_rng(6).normal(size=(700, 8)).astype(np.float32)
+    x[200:500] = x[3]
+    df, got = from_matrix(spark, x), {}
+    for part_bytes in (knn.PART_BYTES, 8 * 8 * 37):
+        monkeypatch.setattr(knn, "PART_BYTES", part_bytes)
+        for metric in ("l2", "cosine", "exp_neg_dot"):
+            for self_too in (True, False):
+                got.setdefault((metric, self_too), []).append(sorted(map(tuple, knn.knn(df, df, 4, metric, include_self=self_too).collect())))
+        got.setdefault("furthest", []).append(sorted(map(tuple, knn.furthest(df, df).collect())))
+        got.setdefault("cells", []).append(sorted(map(tuple, knn.knn_cells(df, df, 4, cells=9, beam=3).collect())))
+        got.setdefault("range", []).append(sorted(map(tuple, knn.range_join(df, df, 2.0).collect())))
+    for one, other in got.values():
+        assert one == other and len(one) >= 700
+
+
 @pytest.mark.parametrize("search", [lambda df: knn.knn_sql(df, df, 3, "l2"), lambda df: knn.knn_cells(df, df, 3, "l2", cells=5, beam=3)])
 def test_no_plan_joins_all_pairs(spark, blobs, search):
     plan = search(blobs[1])._jdf.queryExecution().executedPlan().toString()

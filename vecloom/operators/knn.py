@@ -3,13 +3,14 @@
 The exact kernel keeps one side in bounded broadcast blocks and streams the other through Arrow batches:
 matrix products in small tiles find who can be among the k best, and these few are ranked by the score
 computed in element order, ties by the smaller id. A pass over the streamed side keeps k rows a query, so
-passes add up without a shuffle of vectors; the last ranking shuffles ids and scores only. What a task
-holds is a block, a tile and a batch, whatever the sizes of both sides.
+passes add up without a shuffle of vectors; the last ranking shuffles ids and scores only. A block is
+broadcast in small parts, which a task reads one after the other and does not keep: it holds a part, a tile
+and a batch, whatever the sizes of both sides, and no more for a full block than for a small table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +18,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions import vectors as vx
-from vecloom.session import materialize
+from vecloom.session import local_table, materialize, read_once
 
 #: Whether a larger value is nearer.
 METRICS = {"l2": False, "dot": True, "cosine": True, "exp_neg_dot": False}
-#: Bytes of vectors in one broadcast block.
+#: Bytes of vectors in one block, which is one job.
 BLOCK_BYTES = 32 << 20
+#: Bytes of vectors of a block that a task holds at once: one broadcast.
+PART_BYTES = 4 << 20
 #: Bytes of vectors in one row on the way to a block.
 PACK_BYTES = 4 << 20
 #: Queries and rows of a block in one matrix product, and pairs that are scored at once.
 CHUNK = 512
 TILE = 4096
 PAIRS = 1 << 15
+#: Queries that meet a part each time that it is read.
+QUERIES = 8 * CHUNK
 
 
 def scores(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -102,6 +107,12 @@ def _copies(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _mean(x: np.ndarray) -> np.ndarray:
+    """Of the rows that are finite."""
+    whole = np.isfinite(x).all(axis=1)
+    return x[whole].mean(axis=0) if whole.any() else np.zeros(x.shape[1])
+
+
 class _Near:
     """Pairs of a chunk of queries and a block that can be near enough, from matrix products in small tiles.
 
@@ -110,10 +121,11 @@ class _Near:
     too much through. ``sign`` -1 looks for the furthest.
     """
 
-    def __init__(self, metric: str, x: np.ndarray, sign: int = 1):
+    def __init__(self, metric: str, x: np.ndarray, sign: int = 1, mean: np.ndarray | None = None):
+        """``mean`` stands for the rows' own, so that values of several parts compare."""
         self.metric, self.x, self.sign, self.d = metric, x, sign, x.shape[1]
         whole = np.isfinite(x).all(axis=1)
-        self.mean = x[whole].mean(axis=0) if whole.any() else np.zeros(self.d)
+        self.mean = _mean(x) if mean is None else mean
         with np.errstate(over="ignore", invalid="ignore"):
             self.centred = (x - self.mean).astype(np.float32)
             n2 = ((x - self.mean) ** 2).sum(axis=1)
@@ -173,7 +185,7 @@ def _scored(metric: str, q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndar
     return np.concatenate([np.empty(0)] + [exact(metric, q[i[a : a + PAIRS]], x[j[a : a + PAIRS]]) for a in range(0, len(i), PAIRS)])
 
 
-def _first_k(i: np.ndarray, j: np.ndarray, s: np.ndarray, k: int, down: bool, other: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _first_k(i: np.ndarray, s: np.ndarray, k: int, down: bool, other: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Positions of the k best pairs of each query i; the self first among equals, then smaller ids; NaN above all numbers."""
     key = np.where(np.isnan(s), -np.inf if down else np.inf, -s if down else s)
     order = np.lexsort((ids, other, key, i))
@@ -186,70 +198,92 @@ def _rows_out(i: list, qid: np.ndarray, n: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(qid[np.concatenate(i)], pa.int64()), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(s), pa.float64())], ["q", "n", "score"])
 
 
-def _best_rows(metric: str, k: int, sign: int, include_self: bool, block: tuple, centres: np.ndarray | None, batches) -> Iterator[pa.RecordBatch]:
+class _Best:
+    """The k best so far of a chunk of queries: positions of queries, ids of neighbours, scores."""
+
+    def __init__(self, metric: str, k: int, sign: int, include_self: bool, q: np.ndarray, qid: np.ndarray, asks: np.ndarray | None):
+        self.metric, self.k, self.include_self, self.q, self.qid, self.asks = metric, k, include_self, q, qid, asks
+        self.down = METRICS[metric] != (sign < 0)
+        self.bound = np.full(len(q), np.inf)
+        self.kept = np.empty(0, int), np.empty(0, int), np.empty(0)
+
+    def _settle(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        i, n, s = (np.concatenate(c) for c in zip(self.kept, (i, ids[j], _scored(self.metric, self.q, x, i, j)), strict=True))
+        best = _first_k(i, s, self.k, self.down, n != self.qid[i], n)
+        self.kept = i[best], n[best], s[best]
+
+    def meet(self, near: _Near, tiles: list[slice], ids: np.ndarray, x: np.ndarray, cells: np.ndarray) -> None:
+        """All rows of a part, or with ``asks`` those in the cells that a query asks for."""
+        near.chunk(self.q)
+        new, waiting = [], 0
+        for tile in tiles:
+            rows = slice(None) if self.asks is None else np.flatnonzero(self.asks[:, cells[tile.start]])
+            held = self.bound[rows].copy()
+            # Without the self, whose row may be among the tile's k best, one more is needed.
+            i, j = near.under(rows, tile, held, self.k if self.include_self else self.k + 1)
+            self.bound[rows] = held
+            i = i if self.asks is None else rows[i]
+            if not self.include_self:
+                i, j = i[ids[j] != self.qid[i]], j[ids[j] != self.qid[i]]
+            new.append((i, j))
+            waiting += len(i)
+            if waiting > PAIRS or tile is tiles[-1]:
+                self._settle(*(np.concatenate(c) for c in zip(*new, strict=True)), ids, x)
+                new, waiting = [], 0
+
+    def own(self, ids: np.ndarray, x: np.ndarray, cells: np.ndarray) -> None:
+        """Spare copies, by id, each for the query of its own id."""
+        if not self.include_self or not len(ids):
+            return
+        lo = np.searchsorted(ids, self.qid)
+        count = np.searchsorted(ids, self.qid, "right") - lo
+        i = np.repeat(np.arange(len(self.q)), count)
+        row = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + lo[i]
+        if self.asks is not None:
+            i, row = i[self.asks[i, cells[row]]], row[self.asks[i, cells[row]]]
+        self._settle(i, row, ids, x)
+
+
+def _best_rows(metric: str, k: int, sign: int, include_self: bool, block: tuple, centres: tuple | None, batches) -> Iterator[pa.RecordBatch]:
+    """``_best_in_parts`` of a block in one part."""
+    yield from _best_in_parts(metric, k, sign, include_self, [block], _mean(block[1]), centres, lambda part: part, batches)
+
+
+def _best_in_parts(metric: str, k: int, sign: int, include_self: bool, parts: list, mean: np.ndarray, centres: tuple | None, read: Callable, batches) -> Iterator[pa.RecordBatch]:
     """q, n, score: the k best of a block for each query of the batches. With centres, only in the cells a query asks for.
 
-    A block is (ids, vectors, cells, and these three of spare copies): of equal vectors k + 1 are enough, and a
-    spare one counts only for the query of its own id.
+    ``read`` gives a part: (ids, vectors, cells, and these three of spare copies): of equal vectors k + 1 are
+    enough, and a spare one counts only for the query of its own id. One part is held at a time.
     """
-    ids, x, cells, spare_ids, spare_x, spare_cells = block
-    down = METRICS[metric] != (sign < 0)
-    near = _Near(metric, x, sign)
-    beam = None
-    if centres is None:
-        edges = [0, len(ids)]
-    else:
-        centres, beam = centres
-        edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(ids)] if len(ids) else [0, 0]
-    tiles = [slice(t, min(t + TILE, z)) for a, z in zip(edges, edges[1:], strict=False) for t in range(a, z, TILE)]
     for b in batches:
-        if not b.num_rows:
-            continue
-        every, every_id = _matrix(b.column(1), b.num_rows), np.asarray(b.column(0))
-        if metric == "cosine":
-            every = _unit(every)
-        for at in range(0, len(every), CHUNK):
-            q, qid = every[at : at + CHUNK], every_id[at : at + CHUNK]
-            asks = None
-            if beam is not None:
-                asks = np.zeros((len(q), len(centres)), bool)
-                np.put_along_axis(asks, np.argsort(scores("l2", q, centres), axis=1, kind="stable")[:, :beam], True, axis=1)
-            near.chunk(q)
-            bound = np.full(len(q), np.inf)
-            kept = np.empty(0, int), np.empty(0, int), np.empty(0)
-            new, waiting = [], 0
-
-            def settle(kept, new, q=q, qid=qid):
-                i, j = (np.concatenate(c) for c in zip(*new, strict=True))
-                i, j, s = np.concatenate([kept[0], i]), np.concatenate([kept[1], j]), np.concatenate([kept[2], _scored(metric, q, x, i, j)])
-                best = _first_k(i, j, s, k, down, ids[j] != qid[i], ids[j])
-                return i[best], j[best], s[best]
-
-            for tile in tiles:
-                rows = slice(None) if asks is None else np.flatnonzero(asks[:, cells[tile.start]])
-                held = bound[rows].copy()
-                # Without the self, whose row may be among the tile's k best, one more is needed.
-                i, j = near.under(rows, tile, held, k if include_self else k + 1)
-                bound[rows] = held
-                i = i if asks is None else rows[i]
-                if not include_self:
-                    i, j = i[ids[j] != qid[i]], j[ids[j] != qid[i]]
-                new.append((i, j))
-                waiting += len(i)
-                if waiting > PAIRS:
-                    kept, new, waiting = settle(kept, new), [], 0
-            i, j, s = settle(kept, new) if new else kept
-            n = ids[j]
-            if include_self and len(spare_ids):
-                lo, count = np.searchsorted(spare_ids, qid), np.searchsorted(spare_ids, qid, "right") - np.searchsorted(spare_ids, qid)
-                own = np.repeat(np.arange(len(q)), count)
-                row = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + lo[own]
-                if asks is not None:
-                    own, row = own[asks[own, spare_cells[row]]], row[asks[own, spare_cells[row]]]
-                i, n, s = np.concatenate([i, own]), np.concatenate([n, spare_ids[row]]), np.concatenate([s, _scored(metric, q, spare_x, own, row)])
-                best = _first_k(i, n, s, k, down, n != qid[i], n)
-                i, n, s = i[best], n[best], s[best]
-            yield _rows_out([i], qid, [n], [s])
+        for at in range(0, b.num_rows, QUERIES):
+            some = b.slice(at, QUERIES)
+            every, every_id = _matrix(some.column(1), some.num_rows), np.asarray(some.column(0))
+            if metric == "cosine":
+                every = _unit(every)
+            chunks = []
+            for c in range(0, len(every), CHUNK):
+                q, qid, asks = every[c : c + CHUNK], every_id[c : c + CHUNK], None
+                if centres is not None:
+                    asks = np.zeros((len(q), len(centres[0])), bool)
+                    np.put_along_axis(asks, np.argsort(scores("l2", q, centres[0]), axis=1, kind="stable")[:, : centres[1]], True, axis=1)
+                chunks.append(_Best(metric, k, sign, include_self, q, qid, asks))
+            for part in parts:
+                ids, x, cells, *spare = read(part)
+                near = _Near(metric, x, sign, mean)
+                edges = [0, len(ids)] if centres is None or not len(ids) else [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(ids)]
+                tiles = [slice(t, min(t + TILE, z)) for a, z in zip(edges, edges[1:], strict=False) for t in range(a, z, TILE)]
+                for best in chunks:
+                    best.meet(near, tiles, ids, x, cells)
+                    best.own(*spare)
+                del ids, x, cells, spare, near  # before the next is read
+            for best in chunks:
+                i, n, s = best.kept
+                yield _rows_out([i], best.qid, [n], [s])
+
+
+def _part_rows(x: np.ndarray) -> int:
+    return max(1, PART_BYTES // (8 * x.shape[1]))
 
 
 def _searched(side: DataFrame, blocks: Iterator[tuple[np.ndarray, np.ndarray]], k: int, metric: str, sign: int, include_self: bool, centres: np.ndarray | None = None, beam: int = 0) -> DataFrame | None:
@@ -264,13 +298,15 @@ def _searched(side: DataFrame, blocks: Iterator[tuple[np.ndarray, np.ndarray]],
         spare = _copies(ids, x) > k
         order, rest = np.flatnonzero(~spare), np.flatnonzero(spare)
         order, rest = order[np.argsort(cells[order], kind="stable")], rest[np.argsort(ids[rest], kind="stable")]
-        held = spark.sparkContext.broadcast((ids[order], x[order], cells[order], ids[rest], x[rest], cells[rest]))
+        step = _part_rows(x)
+        parts = [spark.sparkContext.broadcast((ids[o], x[o], cells[o], ids[r], x[r], cells[r])) for o, r in ((order[a : a + step], rest[a : a + step]) for a in range(0, max(len(order), len(rest)), step))]
 
-        def work(batches, held=held):
-            yield from _best_rows(metric, k, sign, include_self, held.value, None if centres is None else (centres, beam), batches)
+        def work(batches, parts=parts, mean=_mean(x)):
+            yield from _best_in_parts(metric, k, sign, include_self, parts, mean, None if centres is None else (centres, beam), read_once, batches)
 
         found.append(materialize(side.mapInArrow(work, "q long, n long, score double"), "knn"))
-        held.destroy()
+        for held in parts:
+            held.destroy()
     if not found:
         return None
     out = found[0]
@@ -303,7 +339,7 @@ def knn(
     side = _spread(_read(queries, key, vec))
 
     found = _searched(side, _blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * max(d, 1)))), k, metric, -1 if furthest else 1, include_self)
-    return queries.sparkSession.createDataFrame([], "q long, n long, score double, rank int") if found is None else found
+    return local_table(queries.sparkSession, "q long, n long, score double, rank int") if found is None else found
 
 
 def top_k(found: DataFrame, k: int, down: bool) -> DataFrame:
@@ -323,43 +359,47 @@ def furthest(queries: DataFrame, index: DataFrame, metric: str = "l2", **kw) ->
 def range_join(queries: DataFrame, index: DataFrame, r: float, metric: str = "l2", key: str = "vec_id", vec: str = "embedding", index_vec: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """q, n, score for all pairs with distance strictly under r (similarity strictly over r)."""
     d = max(vx.check_dimensions(index, index_vec or vec), 1)
-    out = queries.sparkSession.createDataFrame([], "q long, n long, score double")
+    out = local_table(queries.sparkSession, "q long, n long, score double")
     if metric in ("l2", "exp_neg_dot") and r <= 0:
         return out
     side = _spread(_read(queries, key, vec))
     for n, (ids, x) in enumerate(_blocks(_read(index, key, index_vec or vec), max(1, block_bytes // (8 * d)))):
         if n == 1:
             side = materialize(side, "queries")  # read again for each block
-        held = queries.sparkSession.sparkContext.broadcast((ids, _unit(x) if metric == "cosine" else x))
+        x, step = _unit(x) if metric == "cosine" else x, _part_rows(x)
+        parts = [queries.sparkSession.sparkContext.broadcast((ids[a : a + step], x[a : a + step])) for a in range(0, len(ids), step)]
 
-        def work(batches, held=held):
-            yield from _range_rows(metric, r, *held.value, batches)
+        def work(batches, parts=parts):
+            yield from _range_rows(metric, r, parts, batches)
 
         out = out.unionByName(side.mapInArrow(work, "q long, n long, score double"))
     return out
 
 
-def _range_rows(metric: str, r: float, ids: np.ndarray, x: np.ndarray, batches) -> Iterator[pa.RecordBatch]:
-    near = _Near(metric, x)
+def _range_rows(metric: str, r: float, parts: list, batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if not b.num_rows:
-            continue
-        every, every_id = _matrix(b.column(1), b.num_rows), np.asarray(b.column(0))
-        if metric == "cosine":
-            every = _unit(every)
-        for at in range(0, len(every), CHUNK):
-            q, qid = every[at : at + CHUNK], every_id[at : at + CHUNK]
-            near.chunk(q)
-            if metric == "l2":
-                limit = (r * r - (near.q**2).sum(axis=1)) / 2
-            else:
-                limit = (np.log(r) if metric == "exp_neg_dot" else -r) + q @ near.mean
-            for tile in range(0, len(ids), TILE):
-                i, j = near.under(slice(None), slice(tile, min(tile + TILE, len(ids))), limit)
-                s = _scored(metric, q, x, i, j)
-                keep = s > r if METRICS[metric] else s < r
-                if keep.any():
-                    yield _rows_out([i[keep]], qid, [ids[j[keep]]], [s[keep]])
+        for at in range(0, b.num_rows, QUERIES):
+            some = b.slice(at, QUERIES)
+            every, every_id = _matrix(some.column(1), some.num_rows), np.asarray(some.column(0))
+            if metric == "cosine":
+                every = _unit(every)
+            for part in parts:
+                ids, x = read_once(part)
+                near = _Near(metric, x)
+                for c in range(0, len(every), CHUNK):
+                    q, qid = every[c : c + CHUNK], every_id[c : c + CHUNK]
+                    near.chunk(q)
+                    if metric == "l2":
+                        limit = (r * r - (near.q**2).sum(axis=1)) / 2
+                    else:
+                        limit = (np.log(r) if metric == "exp_neg_dot" else -r) + q @ near.mean
+                    for tile in range(0, len(ids), TILE):
+                        i, j = near.under(slice(None), slice(tile, min(tile + TILE, len(ids))), limit)
+                        s = _scored(metric, q, x, i, j)
+                        keep = s > r if METRICS[metric] else s < r
+                        if keep.any():
+                            yield _rows_out([i[keep]], qid, [ids[j[keep]]], [s[keep]])
+                del ids, x, near  # before the next is read
 
 
 SCORE = {"l2": vx.l2, "dot": vx.dot, "cosine": vx.cosine, "exp_neg_dot": vx.exp_neg_dot}
@@ -406,7 +446,7 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int = 10, metric: str = "
         left = left.withColumn("v", F.concat("v", F.array(F.lit(0.0))))
     centres = sample_centres(right, cells, "id", "v", metric=metric)
     if not len(centres):
-        return queries.sparkSession.createDataFrame([], "q long, n long, score double, rank int")
+        return local_table(queries.sparkSession, "q long, n long, score double, rank int")
     blocks = _blocks(right, max(1, BLOCK_BYTES // (8 * centres.shape[1])))
     return _searched(_spread(left), blocks, k, metric, 1, include_self, centres, beam)
 

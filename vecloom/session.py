@@ -6,7 +6,10 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -71,6 +74,26 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+
+def local_table(spark: SparkSession, schema: str, columns: Sequence = ()) -> DataFrame:
+    """A table of the driver's columns, none for an empty one, as Arrow: lists of rows and pandas frames would
+    pass Python workers of their own on the executors, next to those of searches."""
+    fields = [f.split() for f in schema.split(", ")]
+    arrays = [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns or [[]] * len(fields), fields, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, [name for name, _ in fields]), schema)
+
+
+def read_once(held: Broadcast):
+    """A broadcast's value, which the worker does not keep: it is read from the executor's file each time.
+
+    Encrypted ones come with the task and are kept by Spark.
+    """
+    path = getattr(held, "_path", None)
+    return held.value if path is None or hasattr(held, "_value") else held.load_from_path(path)
+
+
 class Scratch:
     """Deletes the tables that were materialized inside it, but those it was told to ``keep``.
 

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from tests import models
@@ -84,6 +85,18 @@ def test_incremental_equals_batch(spark):
         agg.Agglomerator(spark, thresholds, "OTHER")
 
 
+def test_agglomeration_sends_no_rows_through_python_workers(spark, monkeypatch):
+    """Lists of rows are parallelized and unpickled by workers of executors; Arrow tables are not."""
+    edges, sent = frame(spark, random_edges(5)), []
+    parallelize = SparkContext.parallelize
+    monkeypatch.setattr(SparkContext, "parallelize", lambda sc, *a, **kw: sent.append(a) or parallelize(sc, *a, **kw))
+    a = agg.Agglomerator(spark, [0.5, 0.2])
+    for part in range(2):
+        h = a.insert_batch(edges.where(F.col("seq") % 2 == part), 30)
+    large = agg.fit(edges, [0.5, 0.2], 30, seq="seq", local_edges=0)
+    assert members(h, 2) == members(large, 2) and not sent
+
+
 def test_hierarchy_views(spark):
     edges = [(0, 1, 0.9), (2, 3, 0.9), (1, 2, 0.5)]
     h = agg.fit(frame(spark, edges), [0.8, 0.7, 0.1])

@@ -16,13 +16,12 @@ import time
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom.operators import graph
 from vecloom.operators.components import connected_components
-from vecloom.session import materialize
+from vecloom.session import local_table, materialize
 
 LOCAL_LINKS = 100_000
 LOCAL_EDGES = 200_000
@@ -45,8 +44,7 @@ def components_of(links: DataFrame, local_links: int = LOCAL_LINKS) -> DataFrame
     for r in links.select("node", "best").collect():
         a, b = find(r[0]), find(r[1])
         parent[max(a, b)] = min(a, b)
-    rows = pd.DataFrame([(n, find(n)) for n in parent], columns=["node", "component"])
-    return spark.createDataFrame(rows, "node long, component long")
+    return local_table(spark, "node long, component long", (list(parent), [find(n) for n in parent]))
 
 
 @dataclass
@@ -167,8 +165,8 @@ def _fit_arrays(points: DataFrame, level_edges: DataFrame, thresholds: list[floa
     for i in range(1, len(levels)):
         held[i] = i if changed[i] else held[i - 1]
     own = sorted(set(held))
-    pdf = pd.DataFrame({"held": np.repeat(np.array(own, np.int32), len(ids)), "point": np.tile(ids, len(own)), "node": np.concatenate([levels[i] for i in own])})
-    table = materialize(spark.createDataFrame(pdf, "held int, point long, node long"), "members")
+    columns = np.repeat(np.array(own, np.int32), len(ids)), np.tile(ids, len(own)), np.concatenate([levels[i] for i in own])
+    table = materialize(local_table(spark, "held int, point long, node long", columns), "members")
     members = [table.where(F.col("held") == h).select("point", "node") for h in held]
     return Hierarchy(points, thresholds, members, changed, [{"threshold": t, "changed": c, "seconds": time.time() - began} for t, c in zip(thresholds, changed[1:], strict=True)])
 
@@ -228,8 +226,8 @@ class Agglomerator:
         if marking_strategy not in STRATEGIES:
             raise ValueError(f"marking_strategy is one of {STRATEGIES}")
         self.spark, self.thresholds, self.local_links = spark, list(map(float, thresholds)), local_links
-        self.edges = spark.createDataFrame([], "src long, dst long, sim double, seq long")
-        self.extra = spark.createDataFrame([], "point long")
+        self.edges = local_table(spark, "src long, dst long, sim double, seq long")
+        self.extra = local_table(spark, "point long")
         self.pending: DataFrame | None = None
         self.clock = 0
         self.hierarchy: Hierarchy | None = None
